@@ -37,6 +37,14 @@ def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_digests(_documents(spark, sf_dir))
 
 
+def op9_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .id_shards import id_documents
+
+    return id_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .knn import top_k
 
