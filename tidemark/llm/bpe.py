@@ -13,6 +13,7 @@ import functools
 import hashlib
 import re
 import uuid
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,8 +23,8 @@ from .shared import byte_batches, scratch_root, table, text_of
 
 #: Text bytes of a block: bounds the memory of every task here.
 BLOCK_BYTES = 8 << 20
-#: Parts that a block's words are dealt into.
-BUCKETS = 64
+#: Text bytes to a bucket of words, LEAST_BUCKETS at least: bounds what a bucket's task holds.
+BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
 
 _words = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
@@ -80,12 +81,6 @@ def _from_planes(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(_unpack(x), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _bucket(word: bytes) -> int:
-    import zlib
-
-    return zlib.crc32(word) % BUCKETS
-
-
 def _ragged(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Indices of the runs [start, start + length), end to end."""
     total = int(lengths.sum())
@@ -111,8 +106,10 @@ def encode(docs: DataFrame, model: str, carry: tuple[str, ...] = ()) -> DataFram
     spark = docs.sparkSession
     rows = docs.select("doc_id", *carry, text_of().alias("text"))
     head = rows.drop("text").schema
-    if rows.isEmpty():
+    total = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0]
+    if total is None:
         return spark.createDataFrame([], head.add("ids", "binary"))
+    buckets = max(LEAST_BUCKETS, total // BUCKET_BYTES)
     where = f"{scratch_root(spark)}/tidemark/{uuid.uuid4().hex}-bpe"
 
     def to_blocks(batches):
@@ -127,9 +124,9 @@ def encode(docs: DataFrame, model: str, carry: tuple[str, ...] = ()) -> DataFram
                 counts.append(len(words))
                 seq.append(np.fromiter((number(w, len(local)) for w in words), dtype=np.uint32, count=len(words)))
             words = [w.encode() for w in local]
-            dealt: list[list[int]] = [[] for _ in range(BUCKETS)]
+            dealt: list[list[int]] = [[] for _ in range(buckets)]
             for i, w in enumerate(words):
-                dealt[_bucket(w)].append(i)
+                dealt[zlib.crc32(w) % buckets].append(i)
             block = uuid.uuid4().hex
             sink = pa.BufferOutputStream()
             held = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
