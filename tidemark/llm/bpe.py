@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_batches, scratch_root, table, text_of
+from .shared import byte_batches, from_planes, pack, planes, ragged, scratch_root, table, text_of, unpack
 
 #: Text bytes of a block: bounds the memory of every task here.
 BLOCK_BYTES = 8 << 20
@@ -60,40 +60,6 @@ def splits_at_white_space(model: str) -> bool:
     return {n.get("type") for n in normal.get("normalizers", [])} <= {"NFC", "Replace", "Lowercase"} and split.get("type") == "Split" and split.get("behavior") == "Removed" and bool(split.get("invert")) and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in spec["added_tokens"])
 
 
-def _pack(x) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(bytes(x))
-
-
-def _unpack(x: bytes) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdDecompressor().decompress(x)
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """Unsigned numbers by byte planes, which compress better."""
-    return _pack(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
-
-
-def _from_planes(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(_unpack(x), np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
-def _ragged(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Indices of the runs [start, start + length), end to end."""
-    total = int(lengths.sum())
-    out = np.ones(total, dtype=np.int64)
-    full = lengths > 0
-    lengths, starts = lengths[full], starts[full]
-    if total:
-        at = np.cumsum(lengths) - lengths
-        out[at] = starts
-        out[at[1:]] -= starts[:-1] + lengths[:-1] - 1
-    return np.cumsum(out)
-
-
 def encode(docs: DataFrame, model: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows (doc_id, *carry, ids): ids as the tokenizers library gives them without added special tokens.
 
@@ -133,8 +99,8 @@ def encode(docs: DataFrame, model: str, carry: tuple[str, ...] = ()) -> DataFram
             with pa.ipc.new_stream(sink, held.schema) as w:
                 w.write_batch(held)
             place = np.concatenate([np.array(d, dtype=np.uint32) for d in dealt])
-            out = [{"kind": "at", "block": block, "part": 0, "a": _planes(np.concatenate([np.array(counts, dtype=np.uint32), *seq])), "b": _planes(place), "c": _pack(sink.getvalue().to_pybytes())}]
-            out += [{"kind": "words", "block": block, "part": i, "a": _pack(b" ".join(words[j] for j in d)), "b": None, "c": None} for i, d in enumerate(dealt) if d]
+            out = [{"kind": "at", "block": block, "part": 0, "a": planes(np.concatenate([np.array(counts, dtype=np.uint32), *seq])), "b": planes(place), "c": pack(sink.getvalue().to_pybytes())}]
+            out += [{"kind": "words", "block": block, "part": i, "a": pack(b" ".join(words[j] for j in d)), "b": None, "c": None} for i, d in enumerate(dealt) if d]
             yield pa.RecordBatch.from_pylist(out, pa.schema([("block", pa.string()), ("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("kind", pa.string())]))
 
     rows.mapInArrow(to_blocks, "block string, part int, a binary, b binary, c binary, kind string").write.partitionBy("kind").parquet(where)
@@ -142,7 +108,7 @@ def encode(docs: DataFrame, model: str, carry: tuple[str, ...] = ()) -> DataFram
     def code(key, lists):
         import pandas as pd
 
-        texts = [_unpack(x).decode().split(" ") for x in lists["a"]]
+        texts = [unpack(x).decode().split(" ") for x in lists["a"]]
         distinct = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
         flat, lengths, whole = [], [], list(distinct)
         for at in range(0, len(whole), 20_000):
@@ -153,7 +119,7 @@ def encode(docs: DataFrame, model: str, carry: tuple[str, ...] = ()) -> DataFram
         starts, out = np.cumsum(lengths) - lengths, []
         for t in texts:
             own = np.fromiter((distinct[w] for w in t), dtype=np.int64, count=len(t))
-            out.append((_planes(lengths[own]), _planes(flat[_ragged(lengths[own], starts[own])])))
+            out.append((planes(lengths[own]), planes(flat[ragged(lengths[own], starts[own])])))
         return pd.DataFrame({"block": lists["block"].to_numpy(), "part": lists["part"].to_numpy(), "n": [a for a, _ in out], "ids": [b for _, b in out]})
 
     coded = table(read("words").select("block", "part", "a").groupBy("part").applyInPandas(code, "block string, part int, n binary, ids binary"), "bpe-words")
@@ -166,15 +132,15 @@ def encode(docs: DataFrame, model: str, carry: tuple[str, ...] = ()) -> DataFram
 
         if not len(at):
             return pd.DataFrame({n: [] for n in [*head.names, "ids"]})
-        numbers, place = _from_planes(at["a"].iloc[0]), _from_planes(at["b"].iloc[0]).astype(np.int64)
-        docs_ = pa.ipc.open_stream(_unpack(at["c"].iloc[0])).read_all()
+        numbers, place = from_planes(at["a"].iloc[0]), from_planes(at["b"].iloc[0]).astype(np.int64)
+        docs_ = pa.ipc.open_stream(unpack(at["c"].iloc[0])).read_all()
         counts, seq = numbers[: docs_.num_rows].astype(np.int64), numbers[docs_.num_rows :].astype(np.int64)
-        parts = [(_from_planes(n), _from_planes(i)) for _, n, i in sorted(zip(lists["part"], lists["n"], lists["ids"], strict=True), key=lambda x: x[0])]
+        parts = [(from_planes(n), from_planes(i)) for _, n, i in sorted(zip(lists["part"], lists["n"], lists["ids"], strict=True), key=lambda x: x[0])]
         lengths, starts = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
         n = np.concatenate([p[0] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
         flat = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, "<u4")
         lengths[place], starts[place] = n, np.cumsum(n) - n
-        ids, each = flat[_ragged(lengths[seq], starts[seq])].astype("<u4"), lengths[seq]
+        ids, each = flat[ragged(lengths[seq], starts[seq])].astype("<u4"), lengths[seq]
         ends = np.concatenate([[0], np.cumsum(each)])[np.cumsum(counts)]
         raw, ends = ids.tobytes(), [0, *(4 * ends).tolist()]
         out = docs_.to_pandas(types_mapper=pd.ArrowDtype)

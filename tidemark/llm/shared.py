@@ -88,3 +88,37 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     off = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[off[0] : off[-1]], off - off[0]
+
+
+def pack(x) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(bytes(x))
+
+
+def unpack(x: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(x)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Unsigned numbers by byte planes, which compress better."""
+    return pack(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def from_planes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unpack(x), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def ragged(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Indices of the runs [start, start + length), end to end."""
+    total = int(lengths.sum())
+    out = np.ones(total, dtype=np.int64)
+    full = lengths > 0
+    lengths, starts = lengths[full], starts[full]
+    if total:
+        at = np.cumsum(lengths) - lengths
+        out[at] = starts
+        out[at[1:]] -= starts[:-1] + lengths[:-1] - 1
+    return np.cumsum(out)
