@@ -40,6 +40,27 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, n: int, column: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """(df, path) written in the shared folder in n buckets by column, in folders by the column by.
+
+    Tables that are bucketed alike are grouped and joined by that column without moving them again.
+    """
+    spark = df.sparkSession
+    name = f"tidemark_{name}_{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/tidemark/{name}"
+    writer = df.write.format("parquet").option("path", path).bucketBy(n, column)
+    (writer.partitionBy(by) if by else writer).saveAsTable(name)
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.table(name), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete files that no later step reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def text_of(column: str = "text"):
     """A text column with null as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_batches, from_planes, mix64, pack, planes, ragged, scratch_root, seeded_words, table, text_bytes, text_of, unpack
+from .shared import byte_batches, discard, from_planes, mix64, pack, planes, ragged, scratch_root, seeded_words, table, text_bytes, text_of, unpack
 from .shingles import _powers
 
 LEAST, GRAM = 50, 20
@@ -375,8 +375,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), digests: bool =
     rows.mapInArrow(_blocks(buckets), SCHEMA).write.partitionBy("kind").parquet(where)
     read = lambda kind: spark.read.schema(SCHEMA).parquet(where).filter(F.col("kind") == kind)
     bits = table(read("key").groupBy("part").applyInPandas(_answer, SCHEMA), "repeat-bits")
-    spent = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/kind=key")
-    spent.getFileSystem(spark._jsc.hadoopConfiguration()).delete(spent, True)  # read above, no longer needed
+    discard(spark, f"{where}/kind=key")
     pieces = table(read("text").unionByName(bits).groupBy("block").applyInPandas(_fragments(buckets), SCHEMA), "repeat-fragments")
     repeats = table(pieces.filter("kind = 'fragment'").groupBy("part").applyInPandas(_solve, SCHEMA), "repeat-groups")
     out = read("text").unionByName(pieces.filter("kind = 'place'")).unionByName(repeats).groupBy("block").applyInPandas(_cut(digests), schema)
