@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 CASTAGNOLI = 0x82F63B78
@@ -53,13 +54,13 @@ def crc32c_many(values: pd.Series) -> np.ndarray:
     return c ^ np.uint32(0xFFFFFFFF)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def fnv1a64(values: pd.Series) -> pd.Series:
     """FNV-1a of bytes, as the bit pattern of a 64-bit number; null counts as empty."""
     return pd.Series(fnv1a_many(values).view(np.int64))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def crc32c(values: pd.Series) -> pd.Series:
     """CRC-32C of bytes; null counts as empty."""
     return pd.Series(crc32c_many(values).astype(np.int64))
