@@ -16,10 +16,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .bpe import decode, encode
+    from .bpe import encode
 
-    model = public_tokenizers.path("word_bpe_49k.json")
-    return decode(encode(_documents(spark, sf_dir), model), model, digests=True)
+    return encode(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
