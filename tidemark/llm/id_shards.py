@@ -26,7 +26,7 @@ CACHE_CHARS = 48
 #: A null document key.
 NULL_KEY = -(2**63)
 GAMMA = 2.0
-_LEVEL = np.uint64(0x9E3779B97F4A7C15)
+_LEVEL = 0x9E3779B97F4A7C15
 _PRINT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -43,7 +43,7 @@ class PerfectHash:
 
     @staticmethod
     def places(keys: np.ndarray, level: int, m: int) -> np.ndarray:
-        return (mix64(keys + _LEVEL * np.uint64(level + 1)) % np.uint64(m)).astype(np.int64)
+        return (mix64(keys + np.uint64(_LEVEL * (level + 1) % 2**64)) % np.uint64(m)).astype(np.int64)
 
     @staticmethod
     def prints(keys: np.ndarray) -> np.ndarray:

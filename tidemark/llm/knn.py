@@ -22,12 +22,15 @@ SCALE = 256
 
 
 def quantise(vectors: list) -> list[bytes | None]:
-    """floor(256 * x) of each component as int64; None for a vector that is null or holds null or non-finite components."""
+    """floor(256 * x) of each component as int64; None for a vector that is null or holds null or non-finite components.
+
+    None as well for one whose squares sum to 2^62 or more: no two others can have a product that a long doesn't hold.
+    """
     out: list[bytes | None] = []
     for v in vectors:
         x = None if v is None else np.asarray([np.nan if c is None else c for c in v] if isinstance(v, list) else v, dtype=np.float64)
         x = None if x is None or not np.isfinite(x).all() else np.floor(SCALE * x)
-        out.append(None if x is None or (np.abs(x) >= 2.0**62).any() else x.astype(np.int64).tobytes())
+        out.append(None if x is None or (x * x).sum() >= 2.0**62 else x.astype(np.int64).tobytes())
     return out
 
 
@@ -70,8 +73,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec
     """Rows (query_id, rank, vec_id, score): the k best of all other rows for each row whose id is divisible by every.
 
     Score: inner product of the vectors floor(256 * x); ties go to the smaller id; fewer than k candidates give fewer
-    rows. Rows with a null id, and vectors that are null or hold null or non-finite components (or components of 2^54 and
-    more), take no part. Vectors of different lengths are never compared. A row repeated with the same id and vector
+    rows. Rows with a null id, vectors that are null or hold null or non-finite components, and those whose product with
+    themselves passes 2^62, take no part. Vectors of different lengths are never compared. A row repeated with the same id and vector
     counts once. An empty table gives an empty result; other columns are ignored.
     """
     keep = k + 1
