@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.bpe import decode, encode
+from tidemark.llm.bpe import encode
 from tidemark.llm.language_id import keep_identified
 from tidemark.llm.mixing import mixed_documents
 from tidemark.llm.near import keep_one_of_each
@@ -45,8 +45,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the text that they decode to."""
     import public_tokenizers
 
-    model = public_tokenizers.path("word_bpe_49k.json")
-    return decode(encode(docs, model, carry=("source", "lang")), model, digests=True)
+    return encode(docs, public_tokenizers.path("word_bpe_49k.json"), carry=("source", "lang"), digests=True)
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mixture", mixture), ("token_ids", token_ids)]
