@@ -46,7 +46,15 @@ def droppable_tombstones(versions: DataFrame, files: DataFrame, oldest_snapshot:
     """Tombstones older than the oldest snapshot, in the bottom level, that no file of a deeper level overlaps."""
     own = versions.filter("kind = 'DEL'").filter(F.col("sequence") < oldest_snapshot).join(files.filter(F.col("level") == bottom_level).select("file_no"), "file_no", "left_semi")
     below = files.filter(F.col("level") > bottom_level).select("smallest", "largest")
-    return own.join(F.broadcast(below), (F.col("user_key") >= F.col("smallest")) & (F.col("user_key") <= F.col("largest")), "left_anti")
+    ends = below.agg(F.min("smallest").alias("a"), F.max("largest").alias("b")).first()
+    if ends["a"] is None:
+        return own
+    # keys (integers) meet the ranges of their bin alone; a range is in 1024 bins at most
+    width = max(1, -(-(ends["b"] - ends["a"] + 1) // 1024))
+    bin_of = lambda c: F.floor((F.col(c) - ends["a"]) / width)
+    spread = below.withColumn("_bin", F.explode(F.sequence(bin_of("smallest"), bin_of("largest")))).groupBy("_bin", "smallest").agg(F.max("largest").alias("largest"))
+    own = own.withColumn("_bin", bin_of("user_key"))
+    return own.join(spread, (own["_bin"] == spread["_bin"]) & (F.col("user_key") >= F.col("smallest")) & (F.col("user_key") <= F.col("largest")), "left_anti").drop("_bin")
 
 
 def compaction_scores(files: DataFrame) -> DataFrame:

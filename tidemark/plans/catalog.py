@@ -98,7 +98,7 @@ def kv_first_deadline(s, d):
 @query(f"WITH {_STATE}, e AS (SELECT max(t_us) AS e FROM v_log), keys AS (SELECT DISTINCT key FROM v_log) SELECT key, CASE WHEN deadline_us IS NULL OR deadline_us <= e THEN -2 ELSE (deadline_us - e) // 1000000 END AS ttl FROM keys LEFT JOIN st USING (key), e")
 def kv_ttl(s, d):
     log = v.v_log(s, d)
-    rows = log.select("key").distinct().join(_stored(s, d), "key", "left").join(F.broadcast(log.agg(F.max("t_us").alias("e"))))
+    rows = log.select("key").distinct().join(_stored(s, d), "key", "left").join(F.broadcast(log.agg(F.max("t_us").alias("e"))), F.lit(True))
     return rows.select("key", scalars.ttl_seconds(F.col("deadline_us").isNotNull(), F.col("deadline_us") * 1000, F.col("e") * 1000).cast("bigint").alias("ttl"))
 
 
@@ -325,7 +325,7 @@ def samples_buckets(s, d):
 def samples_tail(s, d):
     rows = v.v_samples(s, d)
     p = quantiles.floor_index(rows, ["workload"], "latency_ns", 99, 100, "p99")
-    return rows.join(F.broadcast(p), "workload").groupBy("workload").agg(F.count_if(F.col("latency_ns") > F.col("p99")).alias("tail"))
+    return rows.join(p, "workload").groupBy("workload").agg(F.count_if(F.col("latency_ns") > F.col("p99")).alias("tail"))
 
 
 @query(f"WITH {v.V_SAMPLES} SELECT workload, count(*) AS ops, CAST(sum(latency_ns) AS BIGINT) AS elapsed, CAST(count(*)::HUGEINT * 1000000000 // sum(latency_ns) AS BIGINT) AS ops_s FROM v_samples GROUP BY workload")
