@@ -150,7 +150,7 @@ def text_runs(off: np.ndarray, most_bytes: int) -> list[tuple[int, int]]:
 def pack(x) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(bytes(x))
+    return zstandard.ZstdCompressor(level=8).compress(bytes(x))
 
 
 def unpack(x: bytes) -> bytes:

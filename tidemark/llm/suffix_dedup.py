@@ -25,14 +25,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_batches, discard, from_planes, mix64, pack, planes, ragged, scratch_root, seeded_words, table, text_bytes, text_of, unpack
+from .shared import byte_batches, discard, from_planes, mix64, pack, planes, ragged, released, scratch_root, seeded_words, table, text_bytes, text_of, text_runs, unpack
 from .shingles import _powers
 
 LEAST, GRAM = 50, 20
 #: Bytes before an anchor that a window through it can start at; bytes of a fragment.
 REACH = LEAST - GRAM
 SPAN = REACH + LEAST
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
+#: Text bytes that are hashed at once.
+RUN_BYTES = 1 << 20
+#: Places in a run fit 24 bits.
+LONGEST = 1 << 23
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
 NULL_ID = -(2**63)
 _BYTES = seeded_words(256, 21)
@@ -42,9 +46,21 @@ SCHEMA = "block string, part int, a binary, b binary, kind string"
 
 def anchors(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position, hash) of the anchors of all windows of LEAST bytes that lie within one text."""
+    parts = [(off[a], _anchors(raw[off[a] : off[b]], off[a : b + 1] - off[a])) for a, b in text_runs(off, RUN_BYTES)]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate([at + start for start, (at, _) in parts]), np.concatenate([h for _, (_, h) in parts])
+
+
+def _anchors(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(raw)
     if n < LEAST:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if n > LONGEST:  # one text: pieces whose windows follow one another
+        pieces = [(a, _anchors(raw[a : a + LONGEST // 2 + LEAST - 1], np.array([0, len(raw[a : a + LONGEST // 2 + LEAST - 1])]))) for a in range(0, n, LONGEST // 2)]
+        at, h = np.concatenate([at + a for a, (at, _) in pieces]), np.concatenate([h for _, (_, h) in pieces])
+        new = np.append(True, at[1:] != at[:-1])
+        return at[new], h[new]
     up, down = _powers(1 << max(20, int(n + 1).bit_length()))
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTES[raw] * up[:n], out=sums[1:])
@@ -152,14 +168,13 @@ def _fragments(buckets: int):
         if not len(at):
             return _frame([])
         left, right = np.minimum(REACH, at - off[doc]), np.minimum(LEAST, off[doc + 1] - at)
-        body, prints = np.empty((len(at), SPAN), np.uint8), np.empty((2, len(at)), np.uint64)
-        for a in range(0, len(at), 1 << 15):
-            cut = slice(a, a + (1 << 15))
+        body = np.empty((len(at), SPAN), np.uint8)
+        for a in range(0, len(at), 1 << 13):
+            cut = slice(a, a + (1 << 13))
             place = at[cut, None] + np.arange(-REACH, LEAST)
             there = (place >= (at - left)[cut, None]) & (place < (at + right)[cut, None])
             body[cut] = np.where(there, raw[np.clip(place, 0, len(raw) - 1)], 0)
-            for i in range(2):
-                prints[i, cut] = mix64(((_BYTES[body[cut]] ^ _COLUMNS[1 - i]) * _COLUMNS[i]).sum(1, dtype=np.uint64) + (left[cut] * 64 + right[cut]).astype(np.uint64))
+        prints = _prints(body, left, right)
         order = np.lexsort((prints[1], prints[0]))
         new = np.append(True, (np.diff(prints[0][order]) != 0) | (np.diff(prints[1][order]) != 0))
         fragment = np.empty(len(at), np.int64)
@@ -173,14 +188,43 @@ def _fragments(buckets: int):
         for i in range(buckets):
             own = by_part[cuts[i] : cuts[i + 1]]
             if len(own):
+                own = own[np.argsort(np.ascontiguousarray(body[first[own], REACH : REACH + 8]).view(">u8").ravel(), kind="stable")]  # likes together compress
                 pick = first[own]
-                held = (own.astype(np.uint32), keys[pick], left[pick].astype(np.uint8), right[pick].astype(np.uint8), least[own], most[own], prints[:, pick], body[pick])
+                held = (planes(own), left[pick].astype(np.uint8), right[pick].astype(np.uint8), _longs(least[own]), _longs(most[own] - least[own]), body[pick])
                 out.append((text["block"], i, pack(pickle.dumps(held)), None, "fragment"))
         return _frame(out)
 
     return run
 
 
+def _prints(body: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each fragment, its place about the anchor included."""
+    out = np.empty((2, len(body)), np.uint64)
+    for a in range(0, len(body), 1 << 13):
+        cut = slice(a, a + (1 << 13))
+        for i in range(2):
+            out[i, cut] = mix64(((_BYTES[body[cut]] ^ _COLUMNS[1 - i]) * _COLUMNS[i]).sum(1, dtype=np.uint64) + (left[cut].astype(np.int64) * 64 + right[cut]).astype(np.uint64))
+    return out
+
+
+def _anchor_hash(body: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each fragment's anchor string."""
+    out = np.empty(len(body), np.uint64)
+    for a in range(0, len(body), 1 << 15):
+        part = _BYTES[body[a : a + (1 << 15), REACH : REACH + GRAM]]
+        out[a : a + (1 << 15)] = mix64(((part ^ _COLUMNS[1, :GRAM]) * _COLUMNS[0, :GRAM]).sum(1, dtype=np.uint64))
+    return out
+
+
+def _longs(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers as byte planes."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+
+
+def _from_longs(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.T).view("<i8").ravel()
+
+
 def _ids(ipc: bytes) -> np.ndarray:
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -265,9 +309,12 @@ def maximal_repeats(group, left, right, body, least_doc):
 def _solve(rows):
     """For a bucket: the repeats of its fragments, sent back to the blocks that hold larger documents."""
     held = [pickle.loads(unpack(a)) for a in rows["a"]]
-    block = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
-    own, keys, left, right, least, most = (np.concatenate([x[i] for x in held]) for i in range(6))
-    prints, body = np.concatenate([x[6] for x in held], axis=1), np.concatenate([x[7] for x in held])
+    block = np.repeat(np.arange(len(held)), [len(x[1]) for x in held])
+    own, left, right, body = np.concatenate([from_planes(x[0]) for x in held]), *(np.concatenate([x[i] for x in held]) for i in (1, 2, 5))
+    least, more = (np.concatenate([_from_longs(x[i]) for x in held]) for i in (3, 4))
+    most = least + more
+    del held[:], more
+    prints = _prints(body, left, right)
     # equal fragments of different blocks are one, held from its smallest document on
     order = np.lexsort((prints[1], prints[0]))
     new = np.append(True, (np.diff(prints[0][order]) != 0) | (np.diff(prints[1][order]) != 0))
@@ -275,7 +322,7 @@ def _solve(rows):
     kind[order] = np.cumsum(new) - 1
     first, starts = order[new], np.flatnonzero(new)
     small, large = np.minimum.reduceat(least[order], starts), np.maximum.reduceat(most[order], starts)
-    _, group = np.unique(keys[first], return_inverse=True)
+    _, group = np.unique(_anchor_hash(body[first]), return_inverse=True)
     wide_left, wide_right, shown = left[first].astype(np.int64), right[first].astype(np.int64), body[first]
     whole = np.flatnonzero((small < large) & (wide_left + wide_right >= LEAST))
     pieces = [np.stack([whole, wide_left[whole], (wide_left + wide_right)[whole], small[whole]], axis=1)]
@@ -294,7 +341,7 @@ def _solve(rows):
     source = np.repeat(np.arange(len(kind)), n[kind])
     hit = found[take, 3] < most[source]
     take, source = take[hit], source[hit]
-    cuts = np.searchsorted(block[source], np.arange(len(held) + 1))
+    cuts = np.searchsorted(block[source], np.arange(len(rows) + 1))
     out = []
     for i, name in enumerate(rows["block"]):
         a, b = cuts[i], cuts[i + 1]
@@ -374,11 +421,11 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), digests: bool =
     where = f"{scratch_root(spark)}/tidemark/{uuid.uuid4().hex}-repeats"
     rows.mapInArrow(_blocks(buckets), SCHEMA).write.partitionBy("kind").parquet(where)
     read = lambda kind: spark.read.schema(SCHEMA).parquet(where).filter(F.col("kind") == kind)
-    bits = table(read("key").groupBy("part").applyInPandas(_answer, SCHEMA), "repeat-bits")
+    bits = table(read("key").groupBy("part").applyInPandas(released(_answer), SCHEMA), "repeat-bits")
     discard(spark, f"{where}/kind=key")
-    pieces = table(read("text").unionByName(bits).groupBy("block").applyInPandas(_fragments(buckets), SCHEMA), "repeat-fragments")
-    repeats = table(pieces.filter("kind = 'fragment'").groupBy("part").applyInPandas(_solve, SCHEMA), "repeat-groups")
-    out = read("text").unionByName(pieces.filter("kind = 'place'")).unionByName(repeats).groupBy("block").applyInPandas(_cut(digests), schema)
+    pieces = table(read("text").unionByName(bits).groupBy("block").applyInPandas(released(_fragments(buckets)), SCHEMA), "repeat-fragments")
+    repeats = table(pieces.filter("kind = 'fragment'").groupBy("part").applyInPandas(released(_solve), SCHEMA), "repeat-groups")
+    out = read("text").unionByName(pieces.filter("kind = 'place'")).unionByName(repeats).groupBy("block").applyInPandas(released(_cut(digests)), schema)
     return out.select("doc_id", *[F.col(i).alias(c) for i, c in zip(inside, carry, strict=True)], *out.columns[1 + len(inside) :])
 
 
