@@ -137,3 +137,17 @@ def test_frames_and_commands(spark, tmp_path):
     assert [(r.verb, r.key and bytes(r.key), r.valid) for r in rows] == [("SET", b"k", True), ("GET", b"k", True), ("GET", None, False)]
     with pytest.raises(ValueError):
         readers.resp(b"!oops\r\n")
+
+
+def test_binary_traces(spark, tmp_path):
+    from tidemark.sources import sinks
+
+    events = [{"seq": 0, "time_ns": 5, "node": None, "kind": "Fault", "payload": b"x"}, {"seq": 1, "time_ns": 9, "node": 3, "kind": "Commit", "payload": b""}]
+    data = sinks.trace_bytes(42, 7, "b", events)
+    (tmp_path / "t.bin").write_bytes(data)
+    got = readers.read_traces(spark, str(tmp_path / "t.bin")).orderBy("seq").collect()
+    assert [(r.run_id, r.seq, r.time_ns, r.node, r.kind, bytes(r.payload)) for r in got] == [("0x000000000000002a", 0, 5, None, "Fault", b"x"), ("0x000000000000002a", 1, 9, 3, "Commit", b"")]
+    for bad in (data[:-1], data + b"!", b"NOPE" + data[4:]):
+        with pytest.raises((ValueError, struct.error)):
+            list(readers.trace_events(bad))
+    assert list(readers.trace_events(data.replace(b"\x1c\x01\0\0\0x", b"\xc8\x01\0\0\0x")))[0][5] == "kind-200"

@@ -220,3 +220,38 @@ def framed_records(data: bytes, checked: bool = True) -> Iterator[tuple[int, byt
 
 def read_frames(spark: SparkSession, path: str, checked: bool = True) -> DataFrame:
     return _decoded(binary(spark, path), lambda d: framed_records(d, checked), "ord bigint, record binary")
+
+
+# ---- binary traces
+
+# fixed values: the registry of event kinds by code, from 1 on
+KINDS = ("NetSend", "NetRecv", "NetDrop", "IoIssue", "IoDone", "IoLost", "TimerSet", "TimerFire", "RoleChange", "VoteReq", "VoteGrant", "VoteDeny", "AppendSent", "AppendAck", "Commit", "Apply", "SnapshotStart", "SnapshotChunk", "SnapshotInstall", "ConfChange", "ClientInvoke", "ClientOk", "ClientFail", "ClientTimeout", "WalRecover", "Flush", "Compact", "Fault", "CheckerNote", "SyntheticKataEnabled")
+
+
+def trace_events(data: bytes, strict: bool = False) -> Iterator[tuple[str, str, int, int, int | None, str, bytes]]:
+    """(run_id, build, seq, time_ns, node, kind, payload) of a version-1 binary trace; an unknown kind is shown by its code unless strict."""
+    if data[:4] != b"CCTR" or struct.unpack_from("<H", data, 4)[0] != 1:
+        raise ValueError("not a version-1 trace")
+    seed, _, size = struct.unpack_from("<QII", data, 6)
+    build = data[22 : 22 + size].decode()
+    count = struct.unpack_from("<I", data, 22 + size)[0]
+    at = 26 + size
+    for _ in range(count):
+        seq, time_ns, has = struct.unpack_from("<QQB", data, at)
+        if has > 1:
+            raise ValueError(f"bad node flag at {at}")
+        node = struct.unpack_from("<Q", data, at + 17)[0] if has else None
+        at += 17 + 8 * has
+        code, n = struct.unpack_from("<BI", data, at)
+        if not 1 <= code <= len(KINDS) and strict:
+            raise ValueError(f"unknown kind {code}")
+        if at + 5 + n > len(data):
+            raise ValueError("cut off")
+        yield f"0x{seed:016x}", build, seq, time_ns, node, KINDS[code - 1] if 1 <= code <= len(KINDS) else f"kind-{code}", data[at + 5 : at + 5 + n]
+        at += 5 + n
+    if at != len(data):
+        raise ValueError("trailing bytes")
+
+
+def read_traces(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    return _decoded(binary(spark, path), lambda d: trace_events(d, strict), "run_id string, build string, seq bigint, time_ns bigint, node bigint, kind string, payload binary")

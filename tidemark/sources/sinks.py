@@ -12,6 +12,21 @@ def trace_json(trace: DataFrame) -> DataFrame:
     return trace.groupBy("run_id").agg(F.to_json(F.struct(F.lit(1).alias("trace_version"), F.first("run_id").alias("seed"), F.array_sort(F.collect_list(event)).alias("events"))).alias("json"))
 
 
+def trace_bytes(seed: int, config_hash: int, build: str, events) -> bytes:
+    """A binary trace of one run; events are rows (seq, time_ns, node, kind, payload) in order."""
+    import struct
+
+    from .readers import KINDS
+
+    code = {k: i + 1 for i, k in enumerate(KINDS)}
+    name, parts = build.encode(), []
+    for e in events:
+        node = struct.pack("<B", 0) if e["node"] is None else struct.pack("<BQ", 1, e["node"])
+        payload = bytes(e["payload"])
+        parts.append(struct.pack("<QQ", e["seq"], e["time_ns"]) + node + struct.pack("<BI", code[e["kind"]], len(payload)) + payload)
+    return b"CCTR" + struct.pack("<HQII", 1, seed, config_hash, len(name)) + name + struct.pack("<I", len(parts)) + b"".join(parts)
+
+
 def ledger_lines(ledger: DataFrame) -> DataFrame:
     """(value) lines of nine tab-separated fields."""
     seed = F.concat(F.lit("0x"), F.lower(F.lpad(F.hex(F.col("seed").cast("bigint")), 16, "0")))
