@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import byte_batches, from_planes, pack, planes, scratch_root, table, text_bytes, text_of, unpack
+from .shared import byte_batches, from_planes, pack, planes, released, scratch_root, table, text_bytes, text_of, unpack
 from .shingles import shingle_sets, signatures
 
 BLOCK_BYTES = 6 << 20
@@ -31,7 +31,7 @@ BLOCK_BYTES = 6 << 20
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
 NO_OWNER = 0xFFFFFFFF
 #: Sets of a run, by the bytes of their hashes: two runs meet in a task.
-RUN_BYTES = 24 << 20
+RUN_BYTES = 8 << 20
 NULL_ID = -(2**63)
 
 
@@ -158,22 +158,12 @@ def _candidate_groups(sets: DataFrame, percent: int) -> DataFrame:
 
 
 class Runs:
-    """T-occurrence search among sets of 64-bit hashes."""
+    """T-occurrence search among sets of 64-bit hashes, which leaves out what is linked already."""
 
     def __init__(self, sid: np.ndarray, sets: list[np.ndarray], percent: int):
         self.sid, self.sets, self.percent = sid, sets, percent
         self.n = np.array([len(s) for s in sets], dtype=np.int64)
-        self.parent = list(range(len(sets)))
-
-    def find(self, i: int) -> int:
-        p = self.parent
-        while p[i] != i:
-            p[i] = p[p[i]]
-            i = p[i]
-        return i
-
-    def similar(self, overlap: int, a: int, b: int) -> bool:
-        return 100 * overlap >= self.percent * (self.n[a] + self.n[b] - overlap)
+        self.label = np.arange(len(sets))
 
     def links(self, indexed: np.ndarray, asking: np.ndarray) -> list[tuple[int, int]]:
         """Links that join components: from each asking set to indexed ones of lower place, or to all where the two are apart."""
@@ -185,42 +175,46 @@ class Runs:
         start = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
         keys, stop = flat[start], np.append(start[1:], len(flat))
         out: list[tuple[int, int]] = []
-        smallest = int(self.n[indexed].min(initial=1))
-        for q in asking:
+        if not len(keys):
+            return out
+        smallest, percent = int(self.n[indexed].min()), self.percent
+        for q in asking.tolist():
             at = np.searchsorted(keys, self.sets[q])
-            at = at[(at < len(keys)) & (keys[np.minimum(at, max(0, len(keys) - 1))] == self.sets[q])] if len(keys) else at[:0]
-            if not len(at):
-                continue
+            at = at[keys[np.minimum(at, len(keys) - 1)] == self.sets[q]]
             n = int(self.n[q])
-            low = max(smallest, least_overlap(n, self.percent))
-            need = -(-self.percent * (n + low) // (100 + self.percent))  # overlap that the smallest possible partner requires
+            low = max(smallest, least_overlap(n, percent))
+            need = -(-percent * (n + low) // (100 + percent))  # overlap that the smallest possible partner requires
             if len(at) < need:
                 continue
             sizes = stop[at] - start[at]
             by_size = np.argsort(sizes, kind="stable")
             short, long = at[by_size[: len(at) - need + 1]], at[by_size[len(at) - need + 1 :]]
-            merged = np.concatenate([owner[start[i] : stop[i]] for i in short])
-            if not apart:
-                merged = merged[merged < q]
-            found, times = np.unique(merged, return_counts=True)
-            fits = (100 * np.minimum(self.n[found], n) >= self.percent * np.maximum(self.n[found], n))
-            found, times = found[fits], times[fits]
-            for c in found[np.argsort(-times, kind="stable")].tolist():
-                if self.find(c) == self.find(int(q)):
-                    continue
-                overlap, left = int(times[found == c][0]), len(long)
-                want = -(-self.percent * (n + int(self.n[c])) // (100 + self.percent))
-                for i in long:
-                    if overlap + left < want:
-                        break
+            times = np.bincount(np.concatenate([owner[start[i] : stop[i]] for i in short]), minlength=len(self.n))
+            found = np.flatnonzero(times)
+            found = found if apart else found[found < q]
+            m = self.n[found]
+            want = -(-percent * (n + m) // (100 + percent))
+            fits = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & (times[found] + len(long) >= want) & (self.label[found] != self.label[q])
+            found, want = found[fits], want[fits]
+            if not len(found):
+                continue
+            overlap = times[found]
+            if len(found) * len(long) * 8 < int(sizes[by_size[len(at) - need + 1 :]].sum()):
+                for k, i in enumerate(long):  # binary probes; who can't reach the overlap any more drops out
                     run = owner[start[i] : stop[i]]
-                    j = np.searchsorted(run, c)
-                    overlap += bool(j < len(run) and run[j] == c)
-                    left -= 1
-                else:
-                    if self.similar(overlap, c, int(q)):
-                        self.parent[self.find(c)] = self.find(int(q))
-                        out.append((int(self.sid[c]), int(self.sid[q])))
+                    place = np.minimum(np.searchsorted(run, found), len(run) - 1)
+                    overlap = overlap + (run[place] == found)
+                    open_ = overlap + (len(long) - 1 - k) >= want
+                    found, want, overlap = found[open_], want[open_], overlap[open_]
+                    if not len(found):
+                        break
+            elif len(long):  # more probes than entries: merging is cheaper
+                overlap = overlap + np.bincount(np.concatenate([owner[start[i] : stop[i]] for i in long]), minlength=len(self.n))[found]
+            similar = found[100 * overlap >= percent * (n + self.n[found] - overlap)]
+            _, first = np.unique(self.label[similar], return_index=True)
+            for c in similar[first].tolist():  # one link for each component that is reached
+                self.label[self.label == self.label[c]] = self.label[q]
+                out.append((int(self.sid[c]), int(self.sid[q])))
         return out
 
 
@@ -252,8 +246,8 @@ def similarity_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     where = f"{scratch_root(spark)}/tidemark/{uuid.uuid4().hex}-near"
     _blocks(rows, max(LEAST_BUCKETS, total // BUCKET_BYTES)).write.partitionBy("kind").parquet(where)
     read = lambda kind: spark.read.schema("block string, part int, a binary, b binary, kind string").parquet(where).filter(F.col("kind") == kind)
-    counts = read("part").select("block", "part", "a", "b").groupBy("part").applyInPandas(_count_repeats, "block string, n binary")
-    decided = read("sets").select("block", "a").groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(_decide(percent), "doc_id bigint, n bigint, sig binary, open boolean")
+    counts = read("part").select("block", "part", "a", "b").groupBy("part").applyInPandas(released(_count_repeats), "block string, n binary")
+    decided = read("sets").select("block", "a").groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(released(_decide(percent)), "doc_id bigint, n bigint, sig binary, open boolean")
     decided = table(decided, "near-rows")
 
     classes = decided.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.max("open").alias("open"))
@@ -272,7 +266,7 @@ def similarity_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     # run r meets r and every other run once; pairs are numbered (smaller, larger)
     pairs = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).select("root", "node", "run", F.least("run", "_o").alias("i"), F.greatest("run", "_o").alias("j"))
     tasks = pairs.join(sets.select(F.col("sid").alias("node"), F.col("sid"), "n", "hashes"), "node").select("root", "i", "j", "run", "sid", "n", "hashes")
-    links = table(tasks.groupBy("root", "i", "j").applyInPandas(_solve(percent), "a bigint, b bigint"), "near-links")
+    links = table(tasks.groupBy("root", "i", "j").applyInPandas(released(_solve(percent)), "a bigint, b bigint"), "near-links")
 
     roots = components(links)
     named = sets.select("sig", F.col("sid").alias("node")).join(roots, "node").select("sig", "root")
@@ -289,5 +283,7 @@ def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     repeated with the same doc_id one stays.
     """
     found = similarity_components(docs, percent)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_kept")).distinct()
+    # one exchange by _kept serves the join and the removal of repeated rows
+    return docs.withColumn("_kept", key).join(kept, "_kept", "left_semi").dropDuplicates(["_kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])

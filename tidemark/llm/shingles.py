@@ -6,9 +6,11 @@ import functools
 
 import numpy as np
 
-from .shared import mix64, ragged, seeded_words
+from .shared import mix64, ragged, seeded_words, text_runs
 
 WIDTH = 5
+#: Text bytes that are hashed at once; the arrays for it take some fifty times as much.
+RUN_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = seeded_words(256, 11)
 _PLACES = seeded_words(WIDTH, 12) | np.uint64(1)
@@ -45,6 +47,14 @@ def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shingle hashes, sorted within each text, end to end; their number in each text), by runs of texts."""
+    parts = [_shingle_sets(raw[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in text_runs(off, RUN_BYTES)]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def _shingle_sets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes, sorted within each text, end to end; their number in each text).
 
     A text of fewer than WIDTH words has its whole sequence as one shingle, one without words none.
