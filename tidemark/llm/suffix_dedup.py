@@ -32,9 +32,9 @@ LEAST, GRAM = 50, 20
 #: Bytes before an anchor that a window through it can start at; bytes of a fragment.
 REACH = LEAST - GRAM
 SPAN = REACH + LEAST
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 #: Text bytes that are hashed at once.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 #: Places in a run fit 24 bits.
 LONGEST = 1 << 23
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
@@ -61,7 +61,7 @@ def _anchors(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, h = np.concatenate([at + a for a, (at, _) in pieces]), np.concatenate([h for _, (_, h) in pieces])
         new = np.append(True, at[1:] != at[:-1])
         return at[new], h[new]
-    up, down = _powers(1 << max(20, int(n + 1).bit_length()))
+    up, down = _powers(1 << max(19, int(n + 1).bit_length()))
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTES[raw] * up[:n], out=sums[1:])
     h = mix64((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
@@ -423,9 +423,12 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), digests: bool =
     read = lambda kind: spark.read.schema(SCHEMA).parquet(where).filter(F.col("kind") == kind)
     bits = table(read("key").groupBy("part").applyInPandas(released(_answer), SCHEMA), "repeat-bits")
     discard(spark, f"{where}/kind=key")
-    pieces = table(read("text").unionByName(bits).groupBy("block").applyInPandas(released(_fragments(buckets)), SCHEMA), "repeat-fragments")
-    repeats = table(pieces.filter("kind = 'fragment'").groupBy("part").applyInPandas(released(_solve), SCHEMA), "repeat-groups")
-    out = read("text").unionByName(pieces.filter("kind = 'place'")).unionByName(repeats).groupBy("block").applyInPandas(released(_cut(digests)), schema)
+    found = f"{where}-fragments"
+    read("text").unionByName(bits).groupBy("block").applyInPandas(released(_fragments(buckets)), SCHEMA).write.partitionBy("kind").parquet(found)
+    pieces = lambda kind: spark.read.schema(SCHEMA).parquet(found).filter(F.col("kind") == kind)
+    repeats = table(pieces("fragment").groupBy("part").applyInPandas(released(_solve), SCHEMA), "repeat-groups")
+    discard(spark, f"{found}/kind=fragment")
+    out = read("text").unionByName(pieces("place")).unionByName(repeats).groupBy("block").applyInPandas(released(_cut(digests)), schema)
     return out.select("doc_id", *[F.col(i).alias(c) for i, c in zip(inside, carry, strict=True)], *out.columns[1 + len(inside) :])
 
 
