@@ -14,12 +14,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import byte_batches, mix64, text_of
+from .shared import byte_batches, mix64, release, text_of
 
 ORDER = 4
 #: The sample that the models are fitted on: UTF-8 bytes of whole texts for each language. A fifth of it calibrates.
 SAMPLE_BYTES = 3 << 20
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 #: Characters that a prediction's score counts at most.
 SCORE_CHARS = 40
 #: An unseen character's share of the lowest model.
@@ -228,6 +228,8 @@ def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Models:
     spare = {k: v[4::5] for k, v in texts.items()}
     models = Models({k: [t for i, t in enumerate(v) if i % 5 != 4] for k, v in texts.items()})
     models.calibrate(spare)
+    del texts, spare
+    release()
     return models
 
 
