@@ -105,3 +105,25 @@ def test_check_groups_caps_and_witness(spark):
     got = {r.key: (r.operations, r.verdict, list(r.witness)) for r in linearize.check(frame(spark, ops), witness=True).collect()}
     assert got["y"] == (3, "linearizable", []) and got["x"][:2] == (3, "not-linearizable") and len(got["x"][2]) >= 1
     assert {r.verdict for r in linearize.check(frame(spark, ops), max_states=0).collect()} == {"undecided"}
+
+
+def test_registered_check_covers_whole_histories(spark, monkeypatch):
+    """A value set hours before its read is no violation, a stale read hours later is one, and an operation may span hours."""
+    from tidemark.plans import catalog
+
+    h = 3_600_000_000
+    ops = [op(1, "SET", (0, 1), value="1", key="kept"), op(2, "GET", (7 * h, 7 * h + 1), "1", key="kept")]
+    ops += [op(3, "SET", (0, 1), value="1", key="stale"), op(4, "SET", (7 * h, 7 * h + 1), value="2", key="stale"), op(5, "GET", (13 * h, 13 * h + 1), None, key="stale")]
+    ops += [op(6, "SET", (5 * h, 8 * h), value="1", key="long"), op(7, "GET", (7 * h, 7 * h + 1), "1", key="long")]
+    monkeypatch.setattr(catalog, "_history", lambda s, d: frame(spark, ops))
+    got = sorted((r.key, r.operations, r.verdict) for r in catalog.QUERIES["history_linearizability"](spark, "").collect())
+    assert got == [("kept", 2, "linearizable"), ("long", 2, "linearizable"), ("stale", 3, "not-linearizable")]
+
+
+def test_search_of_a_long_history():
+    """Unanswered mutations that nobody saw and earlier operations cost the search no states."""
+    ops = []
+    for i in range(0, 4000, 2):
+        ops += [op(i, "SET", (10 * i, None if i % 20 == 0 else 10 * i + 5), value=str(i)), op(i + 1, "GET", (10 * i + 6, 10 * i + 8), str(i - 2 if i % 20 == 0 else i) if i else None)]
+    assert linearize.search([dict(o) for o in ops]) == "linearizable"
+    assert linearize.search([dict(o) for o in ops], max_states=1000) == "undecided"

@@ -5,6 +5,8 @@ Keys are independent, so each is a group of its own; a search that passes its st
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,31 +51,48 @@ def search(ops: list[dict], initial=None, max_states: int = MAX_STATES) -> str:
     ops = [o for o in ops if o["outcome"] != "error" and not (o["outcome"] == "timeout" and o["kind"] == "GET")]
     ops.sort(key=lambda o: (o["invoke"], o["id"]))
     ends = [OPEN if o["complete"] is None else o["complete"] for o in ops]
-    must = sum(1 << i for i, o in enumerate(ops) if o["outcome"] != "timeout")
-    stack, seen = [(0, initial, None)], set()
+    must = [i for i, o in enumerate(ops) if o["outcome"] != "timeout"]
+    may = [i for i, o in enumerate(ops) if o["outcome"] == "timeout"]
+    must_at, may_at = [ops[i]["invoke"] for i in must], [ops[i]["invoke"] for i in may]
+    by_end = sorted(range(len(must)), key=lambda k: ends[must[k]])
+    bounded = [k for k, i in enumerate(may) if ends[i] != OPEN]
+    # a state: the first p answered operations and those of the bits in ahead, counted from p, and the unanswered of the bits in taken
+    stack, seen = [(0, 0, 0, initial, None, 0)], set()
     while stack:
-        state = stack.pop()
+        p, ahead, taken, value, deadline, e = stack.pop()
+        state = (p, ahead, taken, value, deadline)
         if state in seen:
             continue
         if len(seen) >= max_states:
             return "undecided"
         seen.add(state)
-        placed, value, deadline = state
-        if placed & must == must:
+        if p == len(must):
             return "linearizable"
-        first_end = min(e for i, e in enumerate(ends) if not placed >> i & 1)
-        for i, o in enumerate(ops):
-            if placed >> i & 1 or o["invoke"] > first_end:
-                continue
+        while by_end[e] < p or ahead >> by_end[e] - p & 1:
+            e += 1
+        first_end = min([ends[must[by_end[e]]], *(ends[may[k]] for k in bounded if not taken >> k & 1)])
+        # pushed last is searched first: answered operations before unanswered ones, the earliest first
+        choices = [(k, False) for k in range(bisect_right(may_at, first_end)) if not taken >> k & 1]
+        choices += [(k, True) for k in range(bisect_right(must_at, first_end) - 1, p - 1, -1) if not ahead >> k - p & 1]
+        for k, answered in choices:
+            i = must[k] if answered else may[k]
+            o = ops[i]
             views = {(value, deadline)}
             if deadline is not None and value is not None:
                 if o["invoke"] >= deadline:
                     views = {(None, None)}
                 elif ends[i] >= deadline:
                     views.add((None, None))
+            q, rest, used = p, ahead, taken
+            if answered:
+                rest |= 1 << k - p
+                while rest & 1:
+                    q, rest = q + 1, rest >> 1
+            else:
+                used |= 1 << k
             for v, d in views:
                 for after in _apply(v, d, o):
-                    stack.append((placed | 1 << i, *after))
+                    stack.append((q, rest, used, *after, e))
     return "not-linearizable"
 
 
