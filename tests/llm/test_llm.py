@@ -214,6 +214,18 @@ def test_jaccard_components_against_all_pairs(sp):
     assert similarity_components(df.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids_remove_only_their_component(sp):
+    from tidemark.llm.near import keep_one_of_each
+
+    rng = random.Random(8)
+    a, b, c, d, e, f, g = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(40)) for k in "abcdefg")
+    rows = [(None, a), (None, b), (None, b + " more"), (None, ""), (None, None), (7, c), (7, d), (7, d), (7, ""), (7, ""), (7, "."), (3, d + " more"), (9, e), (None, e), (9, f + " more"), (9, f), (None, g), (None, g)]
+    got = [(r.doc_id, r.text) for r in keep_one_of_each(docs(sp, [(i, x, "en", "s") for i, x in rows])).collect()]
+    either = {b + " more": b, f + " more": f}  # one of the two, whichever
+    want = [(None, a), (None, b), (None, ""), (None, None), (7, c), (7, ""), (7, "."), (3, d + " more"), (9, e), (9, f), (None, g)]
+    assert sorted((str(i), str(either.get(x, x))) for i, x in got) == sorted((str(i), str(x)) for i, x in want)
+
+
 def test_runs_split_like_whole(sp, monkeypatch):
     from tidemark.llm import near
 

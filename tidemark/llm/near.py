@@ -63,7 +63,7 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
             h, owner = h[start], np.where(times > 1, NO_OWNER, owner[start])
             part, short = (h % np.uint64(buckets)).astype(np.int64), (h >> np.uint64(32)).astype(np.int64)
             block = uuid.uuid4().hex
-            out = [{"kind": "sets", "block": block, "part": -1, "a": pack(pickle.dumps((batch.column(0).to_pylist(), own, count[first], [sig[i] for i in first], inside))), "b": None}]
+            out = [{"kind": "sets", "block": block, "part": -1, "a": pack(pickle.dumps((batch.column(0).to_pylist(), batch.column(2).to_numpy(), own, count[first], [sig[i] for i in first], inside))), "b": None}]
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(buckets + 1))
             for i in range(buckets):
@@ -104,14 +104,14 @@ def _decide(percent: int):
         import pandas as pd
 
         if not len(sets):
-            return pd.DataFrame(columns=["doc_id", "n", "sig", "open"])
-        ids, own, n, sig, inside = pickle.loads(unpack(sets["a"].iloc[0]))
+            return pd.DataFrame(columns=["doc_id", "text_hash", "n", "sig", "open"])
+        ids, text_hash, own, n, sig, inside = pickle.loads(unpack(sets["a"].iloc[0]))
         total = inside.astype(np.int64)
         for c in counts["n"]:
             x = from_planes(c)
             total[: len(x)] += x
         is_open = (n > 0) & (total * 100 >= percent * n)
-        return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n": n[own], "sig": [sig[i] for i in own], "open": is_open[own]})
+        return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "text_hash": text_hash, "n": n[own], "sig": [sig[i] for i in own], "open": is_open[own]})
 
     return run
 
@@ -230,31 +230,35 @@ def _solve(percent: int):
     return run
 
 
-def similarity_components(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id): the components of documents linked by a Jaccard similarity of percent or more.
+def _row_key() -> tuple:
+    """(id, text_hash) of a row: equal for equal rows, and rows that share it have the same set."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(text_of()).alias("_text_hash")
 
-    A set is a text's distinct shingles of five words, its whole word sequence where there are fewer; texts without words
-    (null, empty) have none and link to nothing. Equal sets always link. component_id is the smallest doc_id reached; a
-    null doc_id counts as none, and a component of such rows alone has null. Repeated rows are equal sets. An empty table
-    gives an empty result; other columns are ignored. Sets are compared by 64-bit hashes of their shingles.
+
+def _linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(rows, classes, roots) of a table that isn't empty.
+
+    rows: doc_id, text_hash, n, sig, open of each row. classes: sig of each set, its smallest doc_id (least) and the
+    text_hash of a row that has it (least_hash). roots: sig and root of each set that links to another one.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash"))
     total = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0]
     if total is None:
-        return spark.createDataFrame([], "doc_id bigint, n_shingles bigint, component_id bigint")
+        return None
     where = f"{scratch_root(spark)}/tidemark/{uuid.uuid4().hex}-near"
     _blocks(rows, max(LEAST_BUCKETS, total // BUCKET_BYTES)).write.partitionBy("kind").parquet(where)
     read = lambda kind: spark.read.schema("block string, part int, a binary, b binary, kind string").parquet(where).filter(F.col("kind") == kind)
     counts = read("part").select("block", "part", "a", "b").groupBy("part").applyInPandas(released(_count_repeats), "block string, n binary")
-    decided = read("sets").select("block", "a").groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(released(_decide(percent)), "doc_id bigint, n bigint, sig binary, open boolean")
+    decided = read("sets").select("block", "a").groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(released(_decide(percent)), "doc_id bigint, text_hash bigint, n bigint, sig binary, open boolean")
     decided = table(decided, "near-rows")
 
-    classes = decided.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.max("open").alias("open"))
+    least_hash = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("least_hash")
+    classes = decided.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), least_hash, F.max("open").alias("open"))
     classes = table(classes, "near-classes")
     # one text for each set that may have a partner; a set is found again by its signature
-    ids = decided.filter("open").groupBy("sig").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("_id")).select("_id").distinct()
-    chosen = rows.join(ids, F.coalesce(rows["doc_id"], F.lit(NULL_ID)) == F.col("_id"), "left_semi")
+    ids = classes.filter("open").select(F.coalesce("least", F.lit(NULL_ID)).alias("_id"), F.col("least_hash").alias("_text_hash"))
+    chosen = rows.select(*_row_key(), "text").join(ids, ["_id", "_text_hash"], "left_semi")
     sets = _read_sets(chosen).groupBy("sig").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
     sets = sets.join(classes.filter("open").select("sig"), "sig", "left_semi").withColumn("sid", F.xxhash64("sig"))
     sets = table(sets, "near-sets")
@@ -269,7 +273,21 @@ def similarity_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     links = table(tasks.groupBy("root", "i", "j").applyInPandas(released(_solve(percent)), "a bigint, b bigint"), "near-links")
 
     roots = components(links)
-    named = sets.select("sig", F.col("sid").alias("node")).join(roots, "node").select("sig", "root")
+    return decided, classes, sets.select("sig", F.col("sid").alias("node")).join(roots, "node").select("sig", "root")
+
+
+def similarity_components(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id): the components of documents linked by a Jaccard similarity of percent or more.
+
+    A set is a text's distinct shingles of five words, its whole word sequence where there are fewer; texts without words
+    (null, empty) have none and link to nothing. Equal sets always link. component_id is the smallest doc_id reached; a
+    null doc_id counts as none, and a component of such rows alone has null. Repeated rows are equal sets. An empty table
+    gives an empty result; other columns are ignored. Sets are compared by 64-bit hashes of their shingles.
+    """
+    found = _linked(docs, percent)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, n_shingles bigint, component_id bigint")
+    decided, classes, named = found
     least = named.join(classes, "sig").groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = classes.join(named.join(least, "root").select("sig", "component_id"), "sig", "left").select("sig", F.coalesce("component_id", "least").alias("component_id"))
     out = decided.join(of_class, "sig", "left")
@@ -279,11 +297,20 @@ def similarity_components(docs: DataFrame, percent: int = 80) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs that no other row of their component precedes: one for each component, with the columns of docs.
 
-    The row with the component's smallest doc_id stays. Documents without words are components of their own; of rows
-    repeated with the same doc_id one stays.
+    A row with the component's smallest doc_id stays, any row where all ids are null. Only rows of one component remove one
+    another, so other texts with the same id or with a null one stay too. Documents without words are components of their
+    own; of such rows repeated with the same doc_id and text one stays.
     """
-    found = similarity_components(docs, percent)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_kept")).distinct()
-    # one exchange by _kept serves the join and the removal of repeated rows
-    return docs.withColumn("_kept", key).join(kept, "_kept", "left_semi").dropDuplicates(["_kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = _linked(docs, percent)
+    if found is None:
+        return docs
+    decided, classes, named = found
+    united = classes.join(named, "sig", "left").withColumn("_alone", F.when(F.col("root").isNull(), F.col("sig")))
+    first = F.coalesce(F.min_by("least_hash", "least"), F.min("least_hash"))
+    kept = united.groupBy("root", "_alone").agg(F.coalesce(F.min("least"), F.lit(NULL_ID)).alias("_id"), first.alias("_text_hash")).select("_id", "_text_hash", F.lit(False).alias("_each"))
+    wordless = decided.filter("n = 0").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.col("text_hash").alias("_text_hash"), F.col("doc_id").isNull().alias("_each"))
+    kept = kept.union(wordless).groupBy("_id", "_text_hash").agg(F.max("_each").alias("_each"))
+    # one exchange by the row's key serves the join and the removal of repeated rows
+    rows = docs.select("*", *_row_key()).join(kept, ["_id", "_text_hash"])
+    rows = rows.withColumn("_each", F.when(F.col("_each"), F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["_id", "_text_hash", "_each"]).select(*[F.col(f"`{c}`") for c in docs.columns])
