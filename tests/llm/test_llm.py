@@ -188,6 +188,20 @@ def brute_components(rows):
     return {d: (len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows)}
 
 
+def test_fit_keeps_languages_of_few_long_texts(sp):
+    from tidemark.llm.language_id import fit
+
+    rng = random.Random(11)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(n))
+    rows = [(i, text("abcdef", 20), "aa", "s") for i in range(40)]
+    for k, n in enumerate((2, 3, 6)):  # languages of few texts, each far longer than the sample
+        rows += [(1000 + 10 * k + i, text("ghijklmnopqrstuvwxyz"[6 * k : 6 * k + 6], 6000), f"l{n}", "s") for i in range(n)]
+    models = fit(docs(sp, rows), 2000)
+    assert models.langs == ["aa", "l2", "l3", "l6"] and np.isfinite(models.limits).all()
+    for k, n in enumerate((2, 3, 6)):
+        assert models.predict([text("ghijklmnopqrstuvwxyz"[6 * k : 6 * k + 6], 30)])[0][0] == f"l{n}"
+
+
 def near_rows():
     rng = random.Random(5)
     words = [f"w{i}" for i in range(50)] + ["É", "AB"]

@@ -19,6 +19,8 @@ from .shared import byte_batches, mix64, release, text_of
 ORDER = 4
 #: The sample that the models are fitted on: UTF-8 bytes of whole texts for each language. A fifth of it calibrates.
 SAMPLE_BYTES = 3 << 20
+#: Texts of a language that the sample holds at least: the fifth is the first to calibrate.
+LEAST_TEXTS = 5
 BATCH_BYTES = 1 << 20
 #: Characters that a prediction's score counts at most.
 SCORE_CHARS = 40
@@ -206,27 +208,43 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Models:
-    """Models from the rows of docs with text and lang: for each language whole texts in hash order, up to sample_bytes.
+    """Models from the rows of docs with text and lang: for each language texts in hash order, up to sample_bytes.
 
-    The driver holds the sample: sample_bytes and one text more for each language. Rows are thinned by the hash before
-    they are ranked, so a language's rank runs over about twice the sample, not over all its rows.
+    LEAST_TEXTS texts of a language are taken at least, if it has them; of a text of more than sample_bytes / LEAST_TEXTS
+    characters the sample holds the first so many. The driver holds the sample: sample_bytes and one text more for each
+    language. Rows are thinned by the hash before they are ranked, so a language's rank runs over about twice the sample,
+    not over all its rows; a language that thinning leaves too few texts is ranked whole.
     """
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long") + 1).alias("n")).collect()}
+    most = max(1, sample_bytes // LEAST_TEXTS)
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.least(F.octet_length("text"), F.lit(most)).cast("long") + 1).alias("n")).collect()}
     if not sizes:
         return Models({})
     spread = lambda: F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    shares = {lang: min(1.0, 3 * sample_bytes / n) for lang, n in sizes.items()}
     share = F.lit(1.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 3 * sample_bytes / n)).otherwise(share)
-    order = Window.partitionBy("lang").orderBy("_h", "text").rowsBetween(Window.unboundedPreceding, -1)
-    thin = rows.filter(spread() < share).withColumn("_h", F.xxhash64(F.lit(5), "text")).select("lang", "_h", "text").dropDuplicates(["text", "lang"])
-    before = F.coalesce(F.sum(F.octet_length("text").cast("long") + 1).over(order), F.lit(0))
-    texts: dict[str, list[str]] = {k: [] for k in sorted(sizes)}
-    for r in thin.withColumn("_before", before).filter(F.col("_before") < sample_bytes).orderBy("lang", "_h", "text").select("lang", "text").collect():
-        texts[r["lang"]].append(r["text"])
-    spare = {k: v[4::5] for k, v in texts.items()}
-    models = Models({k: [t for i, t in enumerate(v) if i % 5 != 4] for k, v in texts.items()})
+    for lang, x in shares.items():
+        share = F.when(F.col("lang") == lang, x).otherwise(share)
+    order = Window.partitionBy("lang").orderBy("_h", "text")
+
+    def sample(thin: DataFrame) -> dict[str, list[str]]:
+        thin = thin.withColumn("_h", F.xxhash64(F.lit(5), "text")).select("lang", "_h", "text").dropDuplicates(["text", "lang"])
+        piece = F.substring("text", 1, most)
+        before = F.coalesce(F.sum(F.octet_length(piece).cast("long") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        taken = thin.withColumn("_before", before).withColumn("_rank", F.row_number().over(order)).filter((F.col("_before") < sample_bytes) | (F.col("_rank") <= LEAST_TEXTS))
+        found: dict[str, list[str]] = {}
+        for r in taken.select("lang", "_rank", piece.alias("text")).orderBy("lang", "_rank").collect():
+            found.setdefault(r["lang"], []).append(r["text"])
+        return found
+
+    texts: dict[str, list[str]] = {k: [] for k in sorted(sizes)} | sample(rows.filter(spread() < share))
+    few = [k for k, v in texts.items() if len(v) < LEAST_TEXTS and shares[k] < 1]
+    if few:
+        texts |= sample(rows.filter(F.col("lang").isin(few)))
+    # fewer texts, of which one is long, calibrate with the last
+    every = {k: len(v) if 1 < len(v) < LEAST_TEXTS and max(map(len, v)) == most else LEAST_TEXTS for k, v in texts.items()}
+    spare = {k: v[every[k] - 1 :: every[k]] for k, v in texts.items()}
+    models = Models({k: [t for i, t in enumerate(v) if i % every[k] != every[k] - 1] for k, v in texts.items()})
     models.calibrate(spare)
     del texts, spare
     release()
