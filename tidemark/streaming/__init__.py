@@ -1 +1 @@
-"""Structured Streaming: windows with watermarks, clamped-clock replay and request de-duplication with state."""
+"""Structured Streaming: windows with watermarks, request de-duplication, key replay, and expiry by timers."""
