@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import shared_folder
+
 SECOND = 1_000_000_000
 MOST_BATCH, MOST_SCAN = 256, 4096
 _number = re.compile(rb"^[+-]?[0-9]+$")
@@ -29,18 +31,26 @@ class Machine:
     values: dict[bytes, bytes] = field(default_factory=dict)
     deadlines: dict[bytes, int] = field(default_factory=dict)
     now: int = 0
+    undo: dict[bytes, tuple[bytes | None, int | None]] | None = None
 
     def get(self, key: bytes) -> bytes | None:
         due = self.deadlines.get(key)
         return self.values.get(key) if due is None or due > self.now else None
 
+    def _note(self, key: bytes) -> None:
+        """Inside a batch: remember what a key was before its first change."""
+        if self.undo is not None and key not in self.undo:
+            self.undo[key] = self.values.get(key), self.deadlines.get(key)
+
     def _put(self, key: bytes, value: bytes | None) -> None:
+        self._note(key)
         if value is None:
             self.values.pop(key, None)
         else:
             self.values[key] = value
 
     def _due(self, key: bytes, at: int | None) -> None:
+        self._note(key)
         if at is None:
             self.deadlines.pop(key, None)
         else:
@@ -58,13 +68,20 @@ class Machine:
         """All replies, or none of the changes and the place of the first error; a failed comparison is no error."""
         if not commands or len(commands) > MOST_BATCH or any(c["kind"] == "BATCH" for c in commands):
             raise Fault("invalid-input")
-        values, deadlines, replies = dict(self.values), dict(self.deadlines), []
-        for i, c in enumerate(commands):
-            try:
-                replies.append(self.one(c))
-            except Fault as e:
-                self.values, self.deadlines = values, deadlines
-                return f"batch-error:{i}:{e}"
+        replies: list[object] = []
+        self.undo = {}
+        try:
+            for i, c in enumerate(commands):
+                try:
+                    replies.append(self.one(c))
+                except Fault as e:
+                    before, self.undo = self.undo, None
+                    for key, (value, due) in before.items():
+                        self._put(key, value)
+                        self._due(key, due)
+                    return f"batch-error:{i}:{e}"
+        finally:
+            self.undo = None
         return replies
 
     def one(self, c: dict) -> object:
@@ -137,15 +154,24 @@ def clamp(log: DataFrame) -> DataFrame:
     return running_max(log, "log_index", "leader_time_ns", "_now").drop("leader_time_ns").withColumnRenamed("_now", "leader_time_ns")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df with its lineage cut at files in the shared folder."""
+    spark = df.sparkSession
+    if spark._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()
+
+
 def key_groups(log: DataFrame) -> DataFrame:
     """(key, root): keys that batches link are folded together; other keys are groups of their own."""
     links = log.filter("kind = 'BATCH'").select(F.col("batch.key").alias("ks")).filter("size(ks) > 1").select(F.array_min("ks").alias("a"), F.explode("ks").alias("b")).filter("a <> b")
     keys = log.select(F.explode(F.concat(F.array("key"), F.coalesce("batch.key", F.array().cast("array<binary>")))).alias("key")).filter("key IS NOT NULL").distinct()
     roots = keys.withColumn("root", F.col("key"))
     both = links.union(links.select("b", "a")).toDF("a", "b")
-    while True:  # a round halves the longest chain of links; batches hold at most 256 keys
+    while True:  # a round shortens every chain of links; batches hold at most 256 keys
         near = both.join(roots.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("root").alias("near"))
-        new = roots.join(near, "key", "left").select("key", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("old")).persist()
+        new = roots.join(near, "key", "left").select("key", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("old"))
+        new = settled(new)
         changed = new.filter("root <> old").limit(1).count()
         roots = new.select("key", "root")
         if not changed:
@@ -153,14 +179,8 @@ def key_groups(log: DataFrame) -> DataFrame:
 
 
 _FIELDS = ("kind", "key", "value", "expected", "delta", "ttl_ns", "at_ns", "condition", "scan_start", "scan_end", "scan_limit")
-
-
-def _plain(v):
-    import pandas as pd
-
-    if isinstance(v, (bytes, bytearray, memoryview)):
-        return bytes(v)
-    return None if v is None or (not isinstance(v, str) and pd.isna(v)) else v if isinstance(v, str) else int(v)
+#: Commands that see every key.
+WHOLE = ("SCAN", "PURGE")
 
 
 def show(reply: object) -> str:
@@ -175,21 +195,30 @@ def show(reply: object) -> str:
     return str(reply)
 
 
-def replay(log: DataFrame, whole: bool = False) -> DataFrame:
+def sees_all_keys(log: DataFrame) -> bool:
+    """Whether some command of the log, in a batch or alone, is one that sees every key."""
+    inside = F.coalesce(F.arrays_overlap(F.col("batch.kind"), F.array(*[F.lit(k) for k in WHOLE])), F.lit(False))
+    return bool(log.filter(F.col("kind").isin(*WHOLE) | inside).limit(1).count())
+
+
+def replay(log: DataFrame, whole: bool | None = None) -> DataFrame:
     """(log_index, reply): each command's reply, folded in order by groups of linked keys; whole folds the log as one.
 
-    SCAN and PURGE see every key, so a log with them needs whole. A log of a single group is sequential by nature.
+    SCAN and PURGE see every key, so a log that has one is folded as one unless whole says otherwise. A log of a single
+    group is sequential by nature. Numbers reach the fold as integers: deadlines in nanoseconds don't fit a double.
     """
-    import pandas as pd
+    import pyarrow as pa
+
+    if whole is None:
+        whole = sees_all_keys(log)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        machine, out = Machine(), []
-        for r in rows.sort_values("log_index").to_dict("records"):
-            command = {f: _plain(r.get(f)) for f in (*_FIELDS, "leader_time_ns")}
-            batch = r.get("batch")
-            command["batch"] = None if batch is None else [{f: _plain(b.get(f)) for f in _FIELDS} for b in batch]
-            out.append((r["log_index"], show(machine.apply(command))))
-        return pd.DataFrame(out, columns=["log_index", "reply"])
+    def fold(rows: pa.Table) -> pa.Table:
+        machine, index, replies = Machine(), [], []
+        for part in rows.sort_by("log_index").to_batches(max_chunksize=4096):
+            for command in part.to_pylist():
+                index.append(command["log_index"])
+                replies.append(show(machine.apply(command)))
+        return pa.table({"log_index": pa.array(index, pa.int64()), "reply": pa.array(replies, pa.string())})
 
     timed = clamp(log)
     if whole:
@@ -198,7 +227,8 @@ def replay(log: DataFrame, whole: bool = False) -> DataFrame:
         roots = key_groups(log)
         own = timed.withColumn("_key", F.coalesce("key", F.expr("batch[0].key")))
         grouped = own.join(roots.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
-    return grouped.groupBy("root").applyInPandas(fold, "log_index bigint, reply string")
+    fields = [F.col(c) for c in ("root", "log_index", "leader_time_ns", *_FIELDS, "batch")]
+    return grouped.select(*fields).groupBy("root").applyInArrow(fold, "log_index bigint, reply string")
 
 
 # closed forms over simple logs (log_index, t, key, op, value, k)
