@@ -65,10 +65,47 @@ def test_session_guarantees(spark):
     assert history.session_violations(frame(spark, shadow)).count() == 0
 
 
-def brute(ops):
+def model(state, o, due=None):
+    """(state after, reply) of a plain dictionary machine; deadlines matter to GET alone."""
+    kind, key, state = o["kind"], o.get("key"), dict(state)
+    value = state[key][0] if key in state else None
+    if kind == "SET":
+        state[key] = (o["value"], due)
+        return state, "ok"
+    if kind == "DEL":
+        state.pop(key, None)
+        return state, "ok"
+    if kind == "INCR":
+        n = int(value) + 1 if value is not None and value.lstrip("-").isdigit() else 1
+        state[key] = (str(n), None)
+        return state, n
+    if kind == "CAS":
+        if value == o["expected"]:
+            state[key] = (o["value"], None)
+        return state, value == o["expected"]
+    if kind == "SCAN":
+        return state, [(k, v[0]) for k, v in sorted(state.items()) if k.startswith(o["prefix"] or "")][: o["scan_limit"]]
+    if kind == "BATCH":
+        out = []
+        for c in o["commands"]:
+            state, reply = model(state, c, due)
+            out.append(reply)
+        return state, out
+    return state, value
+
+
+def said(o):
+    if o["kind"] == "BATCH":
+        return [said({**c, **r}) for c, r in zip(o["commands"], o["replies"], strict=True)]
+    if o["kind"] == "SCAN":
+        return [(x["key"], x["value"]) for x in o["out_pairs"]]
+    return {"SET": "ok", "DEL": "ok", "INCR": o["out_int"], "CAS": o["outcome"] == "ok", "GET": o["out_value"]}[o["kind"]]
+
+
+def brute(ops, initial=()):
     """Try every order of every choice of unanswered mutations."""
-    must = [o for o in ops if o["outcome"] == "ok"]
-    may = [o for o in ops if o["outcome"] == "timeout" and o["kind"] != "GET"]
+    must = [o for o in ops if o["outcome"] != "timeout"]
+    may = [o for o in ops if o["outcome"] == "timeout" and o["kind"] not in ("GET", "SCAN")]
     for r in range(len(may) + 1):
         for extra in itertools.combinations(may, r):
             chosen = [*must, *extra]
@@ -76,10 +113,18 @@ def brute(ops):
                 place = {o["id"]: i for i, o in enumerate(order)}
                 if any(a["complete"] is not None and a["complete"] < b["invoke"] and place[a["id"]] > place[b["id"]] for a in chosen for b in chosen):
                     continue
-                states = {None}
+                state, fits = {k: (v, None) for k, v in initial}, True
                 for o in order:
-                    states = {after for v in states for after, _ in linearize._apply(v, None, o)}
-                if states:
+                    if o["kind"] == "GET":
+                        value, due = state.get(o["key"], (None, None))
+                        seen, gone = value is not None and (due is None or o["invoke"] < due), value is None or (due is not None and o["complete"] >= due)
+                        fits = (o["out_value"] == value and seen) if o["out_value"] is not None else gone
+                    else:
+                        state, reply = model(state, o, o["deadline"])
+                        fits = o["outcome"] == "timeout" or reply == said(o)
+                    if not fits:
+                        break
+                if fits:
                     return "linearizable"
     return "not-linearizable"
 
@@ -87,19 +132,91 @@ def brute(ops):
 def test_search_against_permutations():
     rng = random.Random(4)
     seen = set()
-    for _ in range(300):
+    for _ in range(400):
         ops = []
         for i in range(rng.randint(1, 5)):
             a = rng.randint(0, 8)
-            kind = rng.choice(["SET", "GET", "DEL", "INCR", "GET"])
+            kind = rng.choice(["SET", "GET", "DEL", "INCR", "GET", "CAS"])
             end = None if rng.random() < 0.2 else a + rng.randint(0, 4)
-            ops.append(op(i, kind, (a, end), (rng.randint(1, 2) if kind == "INCR" else rng.choice([None, "1", "2"])) if end is not None else None, rng.choice(["1", "2"]) if kind == "SET" else None))
+            o = op(i, kind, (a, end), (rng.randint(1, 2) if kind == "INCR" else rng.choice([None, "1", "2"])) if end is not None else None, rng.choice(["1", "2"]) if kind in ("SET", "CAS") else None)
+            o |= {"expected": rng.choice([None, "1"])} if kind == "CAS" else {}
+            o |= {"deadline": rng.randint(2, 9)} if kind == "SET" and rng.random() < 0.4 else {}
+            o |= {"outcome": "fail"} if kind == "CAS" and end is not None and rng.random() < 0.4 else {}
+            ops.append(o)
+        initial = {"x": "1"} if rng.random() < 0.3 else {}
+        want = brute([dict(o) for o in ops], initial.items())
+        seen.add(want)
+        assert linearize.search([dict(o) for o in ops], initial) == want, ops
+    assert len(seen) == 2
+
+
+def spanning(rng, n):
+    """A history over two keys with SCAN and BATCH whose replies are mostly those of some order."""
+    ops, state = [], {}
+    for i in range(n):
+        a = 3 * i + rng.randint(0, 4)
+        kind = rng.choice(["SET", "GET", "DEL", "INCR", "SCAN", "BATCH"])
+        end = None if rng.random() < 0.15 else a + rng.randint(0, 5)
+        o = op(i, kind, (a, end), key=rng.choice("xy")) | {"prefix": rng.choice([None, "x"]), "scan_limit": rng.choice([1, 9])}
+        o |= {"value": rng.choice("12")} if kind == "SET" else {}
+        o |= {"commands": [{"kind": k, "key": rng.choice("xy"), "value": "1"} for k in rng.choices(["SET", "GET", "INCR"], k=2)]} if kind == "BATCH" else {}
+        state, reply = model(state, o)
+        if end is not None:
+            o |= {"out_value": reply} if kind == "GET" else {"out_int": reply + (rng.random() < 0.1)} if kind == "INCR" else {}
+            o |= {"out_pairs": [{"key": k, "value": v} for k, v in reply[: None if rng.random() < 0.9 else 0]]} if kind == "SCAN" else {}
+            if kind == "BATCH":
+                o["replies"] = [{"outcome": "ok", "out_value": r if c["kind"] == "GET" else None, "out_int": r if c["kind"] == "INCR" else None} for c, r in zip(o["commands"], reply, strict=True)]
+        ops.append(o)
+    return ops
+
+
+def test_search_of_spanning_operations_against_permutations():
+    rng, seen = random.Random(14), set()
+    for _ in range(250):
+        ops = spanning(rng, rng.randint(1, 5))
         want = brute([dict(o) for o in ops])
         seen.add(want)
         assert linearize.search([dict(o) for o in ops]) == want, ops
     assert len(seen) == 2
 
 
+def test_check_of_runs_that_span_keys(spark):
+    reply = "outcome: string, out_value: string, out_int: bigint"
+    schema = f"run string, {SCHEMA}, consistency string, prefix string, scan_limit int, out_pairs array<struct<key: string, value: string>>, commands array<struct<kind: string, key: string, value: string>>, replies array<struct<{reply}>>"
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    rng, rows, want = random.Random(15), [], {}
+    for r in range(12):
+        ops = spanning(rng, 4)
+        want[f"r{r}"] = linearize.search([dict(o) for o in ops])
+        for o in ops:
+            rows.append((f"r{r}", *[o[n] for n in names], "strong", o.get("prefix"), o.get("scan_limit"), o.get("out_pairs"), [(c["kind"], c["key"], c["value"]) for c in o["commands"]] if "commands" in o else None, [(c["outcome"], c["out_value"], c["out_int"]) for c in o["replies"]] if "replies" in o else None))
+        stale = op(99, "GET", (50, 51), "never", key="x")
+        rows.append((f"r{r}", *[stale[n] for n in names], "stale", None, None, None, None, None))
+    df = spark.createDataFrame(rows, schema)
+    got = {}
+    for r in linearize.check(df, ["run"]).collect():
+        got.setdefault(r.run, []).append((r.key, r.verdict))
+    kind = 1 + names.index("kind")
+    spans = {x[0] for x in rows if x[kind] in ("SCAN", "BATCH")}
+    assert set(got) == set(want)
+    for run, found in got.items():
+        if run in spans:
+            assert found == [(None, want[run])]
+        assert ("not-linearizable" in [v for _, v in found]) == (want[run] == "not-linearizable")
+    start = spark.createDataFrame([("w", "x", "7")], "run string, key string, value string")
+    part = spark.createDataFrame([("w", *[op(1, "GET", (0, 1), "7")[n] for n in names])], f"run string, {SCHEMA}")
+    assert [r.verdict for r in linearize.check_window(part, start, ["run"]).collect()] == ["linearizable"]
+    assert [r.verdict for r in linearize.check_window(part, start.limit(0), ["run"]).collect()] == ["not-linearizable"]
+    with pytest.raises(ValueError):
+        linearize.check_window(part, None, ["run"])
+
+
+def test_increment_starts_from_strict_numbers():
+    assert [linearize.integer(x) for x in ("5", "+5", "-3", "1_0", " 5", "", None, "9223372036854775808", "\u0665")] == [5, 5, -3, 0, 0, 0, 0, 0, 0]
+    top = str(2**63 - 1)
+    assert linearize.search([op(1, "INCR", (0, 1), 2**63)], {"x": top}) == "not-linearizable"
+
+
 def test_check_groups_caps_and_witness(spark):
     ops = CASES["stale"][0] + [op(10 + i, "GET", (10 + i, 10 + i), None, key="y") for i in range(3)]
     got = {r.key: (r.operations, r.verdict, list(r.witness)) for r in linearize.check(frame(spark, ops), witness=True).collect()}
