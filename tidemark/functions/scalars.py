@@ -76,15 +76,15 @@ def has_prefix(key: Column, prefix: str) -> Column:
 
 
 def display_payload(payload: Column, most: int = 96) -> Column:
-    """Printable ASCII as it is, anything else as 0x and hex; cut at most characters with an ellipsis."""
-    shown = F.when(payload.cast("string").rlike(r"^[\x20-\x7E]*$"), payload.cast("string")).otherwise(F.concat(F.lit("0x"), hex_encode(payload)))
-    return F.when(F.length(shown) > most, F.concat(F.substring(shown, 1, most), F.lit("..."))).otherwise(shown)
+    """The first bytes of a payload, most of them: printable ASCII as it is, else 0x and their hex; an ellipsis if there are more."""
+    held = F.substring(payload, 1, most)
+    shown = F.when(F.hex(held).rlike("^(2[0-9A-F]|[3-6][0-9A-F]|7[0-9A-E])*$"), F.decode(held, "US-ASCII")).otherwise(F.concat(F.lit("0x"), hex_encode(held)))
+    return F.concat(shown, F.when(F.octet_length(payload) > most, "\u2026").otherwise(""))
 
 
 def json_escape_bytes(data: Column) -> Column:
-    """Each byte as its own escaped unit."""
-    digits = F.lower(F.hex(data))
-    return F.regexp_replace(digits, "(..)", r"\\\\u00$1")
+    """Each byte as its own escaped unit: a backslash, u00 and two digits."""
+    return F.regexp_replace(F.lower(F.hex(data)), "(..)", r"\\u00$1")
 
 
 def xml_escape(text: Column) -> Column:

@@ -64,6 +64,24 @@ def shard_residues(ledger: DataFrame, shards: int, source: str = "source", seed:
     return ledger.groupBy(source).agg(F.array_sort(F.collect_set(F.col(seed) % shards)).alias("residues")).filter("size(residues) > 1")
 
 
+def shard_faults(ledger: DataFrame, start: int, end: int, shards: int, build: str, config_hash: str, source: str = "source") -> DataFrame:
+    """(fault, source, seed) of what keeps a ledger of shards from proving that [start, end) was covered; no row is a proof.
+
+    wrong build or config, a seed outside the range, a source with several residues, a residue with several sources, and
+    seeds that are missing or there more than once.
+    """
+    none = lambda t: F.lit(None).cast(t)
+    kind = ledger.schema[source].dataType
+    rows = ledger.select(F.col(source).alias("source"), "seed", "build_label", "config_hash")
+    row_fault = F.when(F.col("build_label") != build, "wrong build").when(F.col("config_hash") != config_hash, "wrong config").when((F.col("seed") < start) | (F.col("seed") >= end), "outside the range")
+    bad = rows.select(row_fault.alias("fault"), "source", "seed").filter("fault IS NOT NULL")
+    residues = shard_residues(rows, shards).select(F.lit("several residues").alias("fault"), "source", none("bigint").alias("seed"))
+    owners = rows.select("source", (F.col("seed") % shards).alias("seed")).distinct().groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1")
+    owners = owners.select(F.lit("several sources").alias("fault"), none(kind).alias("source"), "seed")
+    wrong = coverage(rows, start, end).select(F.when(F.col("sources") == 0, "missing").otherwise("repeated").alias("fault"), none(kind).alias("source"), "seed")
+    return bad.unionByName(residues).unionByName(owners).unionByName(wrong)
+
+
 def todo(start: int, end: int, ledger: DataFrame, seed: str = "seed") -> DataFrame:
     """Seeds of [start, end) without an ok row: nothing else counts as done."""
     return ledger.sparkSession.range(start, end).select(F.col("id").alias(seed)).join(ledger.filter("verdict = 'ok'").select(seed), seed, "left_anti")

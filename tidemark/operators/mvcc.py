@@ -65,10 +65,15 @@ def compaction_scores(files: DataFrame) -> DataFrame:
 
 
 def select_level(scores: DataFrame) -> DataFrame:
-    """The level with the highest ratio of at least one, ties to the lower level; ratios are compared exactly."""
-    big = "decimal(38,18)"
-    ratio = F.col("numerator").cast(big) / F.col("denominator").cast("decimal(20,0)")
-    return scores.filter("numerator >= denominator").orderBy(ratio.desc(), "level").limit(1)
+    """The level with the highest ratio of at least one, ties to the lower level; ratios are compared exactly.
+
+    They are ordered by their whole part and 18 digits of long division: ratios that differ by less have denominators
+    beyond 10^9.
+    """
+    n, d, step = "cast(numerator as decimal(20,0))", "cast(denominator as decimal(20,0))", "1000000000"
+    rest = f"({n} % {d}) * {step}"
+    digits = [f"{n} div {d}", f"({rest}) div {d}", f"((({rest}) % {d}) * {step}) div {d}"]
+    return scores.filter("numerator >= denominator").orderBy(*[F.expr(x).desc() for x in digits], "level").limit(1)
 
 
 def overlap_closure(files: DataFrame, level: int, smallest: int, largest: int) -> DataFrame:
@@ -89,28 +94,35 @@ def overlapping_files(files: DataFrame) -> DataFrame:
 
 
 def split_output(entries: DataFrame, most_bytes: int = OUTPUT_BYTES, group: str = "level") -> DataFrame:
-    """entries(level, user_key, sequence, size) with the output file that each goes to.
+    """(group, user_key, bytes, output): the output file that each key's entries(group, user_key, sequence, size) go to.
 
-    An output closes at the first key boundary at which it holds most_bytes; each entry weighs 32 bytes more. The rule
-    is greedy, so it folds over key totals in order, a group (level) at a time.
+    Entries go in order of key, then of newest sequence, and weigh 32 bytes more than their size. An output closes before
+    the first entry of a key that would take it past most_bytes; the versions of a key stay together, so a key of very
+    many may pass it alone. Only a key's first entry and its total matter: the greedy rule folds over those, a group at a
+    time, in a stream of batches of sorted keys.
     """
-    import pandas as pd
-
-    keys = entries.groupBy(group, "user_key").agg(F.sum(F.col("size") + ENTRY_OVERHEAD).alias("bytes"))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("user_key")
-        out, held, n = [], 0, 0
-        for b in rows["bytes"]:
-            if held >= most_bytes:
-                held, n = 0, n + 1
-            out.append(n)
-            held += b
-        return rows.assign(output=out)
+    weight = F.col("size") + ENTRY_OVERHEAD
+    keys = entries.groupBy(group, "user_key").agg(F.sum(weight).cast("bigint").alias("bytes"), F.max_by(weight, "sequence").cast("bigint").alias("_first"))
+
+    def fold(batches):
+        import pyarrow as pa
+
+        name, held, n = object(), 0, 0
+        for batch in batches:
+            out = []
+            for own, total, first in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if own != name:
+                    name, held, n = own, 0, 0
+                elif held + first > most_bytes:
+                    held, n = 0, n + 1
+                held += total
+                out.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.int32())], [group, "user_key", "bytes", "output"])
 
     kind = entries.schema[group].dataType.simpleString()
     key = entries.schema["user_key"].dataType.simpleString()
-    return keys.groupBy(group).applyInPandas(fold, f"{group} {kind}, user_key {key}, bytes bigint, output int")
+    rows = keys.select(group, "user_key", "bytes", "_first").repartition(group).sortWithinPartitions(group, "user_key")
+    return rows.mapInArrow(fold, f"{group} {kind}, user_key {key}, bytes bigint, output int")
 
 
 def level_metrics(files: DataFrame) -> DataFrame:
@@ -122,6 +134,43 @@ def replay_manifest(edits: DataFrame) -> DataFrame:
     return edits.groupBy("file_no").agg(F.max_by(F.struct("action", "level"), "ord").alias("e")).filter("e.action = 'ADD'").select("file_no", "e.level")
 
 
+def manifest_faults(edits: DataFrame, next_file_no: int | None = None) -> DataFrame:
+    """(ord, file_no, fault) of edits(ord, action, file_no, level[, smallest, largest]) that a manifest must refuse.
+
+    Adding a file that is live, or whose number isn't below next_file_no; removing one that isn't live, or from another
+    level; adding a range that overlaps a live file of the same level above 0. One fault makes the whole batch void.
+    """
+    w = Window.partitionBy("file_no").orderBy("ord")
+    rows = edits.withColumn("_was", F.lag("action").over(w)).withColumn("_level", F.lag("level").over(w))
+    gone = F.min(F.when(F.col("action") == "REMOVE", F.col("ord"))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    rows = rows.withColumn("_until", gone)
+    add = F.col("action") == "ADD"
+    fault = F.when(add & (F.col("_was") == "ADD"), "file number")
+    if next_file_no is not None:
+        fault = fault.when(add & (F.col("file_no") >= next_file_no), "file number")
+    fault = fault.when(~add & ~F.coalesce(F.col("_was") == "ADD", F.lit(False)), "removes missing file")
+    fault = fault.when(~add & (F.col("_level") != F.col("level")), "remove level")
+    out = rows.withColumn("fault", fault).filter("fault IS NOT NULL").select("ord", "file_no", "fault")
+    if not {"smallest", "largest"} <= set(edits.columns):
+        return out
+    # an added file meets those of its level that live then and start at or before its largest key
+    live = rows.filter(add & (F.col("level") > 0)).select("ord", "file_no", "level", "smallest", "largest", "_until")
+    old = live.select(*[F.col(c).alias(f"o_{c}") for c in live.columns])
+    meets = (F.col("level") == F.col("o_level")) & (F.col("o_ord") < F.col("ord")) & F.coalesce(F.col("o__until") > F.col("ord"), F.lit(True)) & (F.col("o_smallest") <= F.col("largest")) & (F.col("smallest") <= F.col("o_largest")) & (F.col("file_no") != F.col("o_file_no"))
+    return out.union(live.join(old, meets, "left_semi").select("ord", "file_no", F.lit("level range overlap").alias("fault")))
+
+
+def apply_manifest(edits: DataFrame, next_file_no: int | None = None) -> DataFrame:
+    """replay_manifest of edits(batch, ord, ...) without the batches that have a fault: all of a batch or nothing of it.
+
+    Batches are judged against all edits, as a refused one ends a manifest's life: only those before the first fault count.
+    """
+    first = manifest_faults(edits.drop("batch"), next_file_no).agg(F.min("ord").alias("_first"))
+    stop = edits.join(F.broadcast(first), F.col("ord") == F.col("_first")).agg(F.min("batch").alias("_stop"))  # one row
+    kept = edits.join(F.broadcast(stop), F.coalesce(F.col("batch") < F.col("_stop"), F.lit(True))).drop("_stop")
+    return replay_manifest(kept)
+
+
 def orphans(tables: DataFrame, manifest: DataFrame) -> DataFrame:
     return tables.join(manifest.select("file_no"), "file_no", "left_anti")
 
@@ -133,6 +182,12 @@ def generation(manifests: DataFrame, meta: DataFrame) -> DataFrame:
     return named.select("generation", F.lit(0).alias("_o")).union(newest.select("generation", F.lit(1).alias("_o"))).orderBy("_o").limit(1).select("generation")
 
 
+def write_amplification(flushed: DataFrame, compacted: DataFrame) -> DataFrame:
+    """(flushed, compacted, milli): bytes(bytes) written for each flushed one, in thousandths; null without any."""
+    one = flushed.agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("flushed")).join(compacted.agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("compacted")), F.lit(True))
+    return one.withColumn("milli", F.expr("(flushed + compacted) * 1000 div nullif(flushed, 0)"))
+
+
 def tables_per_key(versions: DataFrame, files: DataFrame) -> DataFrame:
     """(blocks, gets): how many tables a point read of each key has to look into, as a histogram."""
     return versions.groupBy("user_key").agg(F.count_distinct("file_no").alias("blocks")).groupBy("blocks").agg(F.count("*").alias("gets"))

@@ -8,14 +8,28 @@ from pyspark.sql import functions as F
 BEACONS = ("signup", "purchase", "error", "view", "click", "timeout")
 
 
+def positions(trace: DataFrame, order: list, by: list[str] | None = None, span: int = 1 << 16) -> DataFrame:
+    """trace with pos, each event's place in its run (by) by the order columns, the first of which is a number.
+
+    Places come from counts of spans of that number and a window inside a span, so no task holds a whole trace.
+    """
+    by = by or []
+    rows = trace.withColumn("_span", F.floor(F.col(order[0]) / span))
+    counts = rows.groupBy(*by, "_span").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)  # a row a span
+    starts = counts.select(*by, "_span", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*by, "_span").orderBy(*order)
+    return rows.join(starts, [*by, "_span"]).withColumn("pos", F.col("_start") + F.row_number().over(inside) - 1).drop("_span", "_start")
+
+
 def invariants(trace: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Neighbouring events whose seq doesn't follow by one or whose time goes back; rows (name, at, detail).
 
+    pos is an event's place in the trace as it was read: without it the place by seq, where only gaps can be seen.
     Neighbours are found by an equi-join on the place, not by a window over a trace.
     """
     by = by or []
-    place = "pos" if "pos" in trace.columns else None
-    rows = trace if place else trace.withColumn("pos", F.col("seq"))
+    rows = trace if "pos" in trace.columns else positions(trace, ["seq"], by)
     left = rows.select(*by, F.col("pos"), F.col("seq").alias("a"), F.col("time_us").alias("ta"))
     right = rows.select(*by, (F.col("pos") - 1).alias("pos"), F.col("seq").alias("b"), F.col("time_us").alias("tb"))
     pairs = left.join(right, [*by, "pos"])
