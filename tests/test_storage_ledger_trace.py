@@ -35,6 +35,74 @@ def test_level_selection(spark):
     assert {r.file_no for r in mvcc.overlap_closure(files, 0, 3, 4).collect()} == {0, 1, 2, 3, 10}
 
 
+def split(rows, target):
+    """Entries one by one, as they come: a new output before an entry of another key that would pass the target."""
+    outputs, held, last = [], 0, None
+    for key, _, size in sorted(rows, key=lambda r: (r[0], -r[1])):
+        if last is not None and key != last and held + size + 32 > target:
+            outputs.append({})
+            held = 0
+        elif not outputs:
+            outputs.append({})
+        outputs[-1][key] = outputs[-1].get(key, 0) + size + 32
+        held, last = held + size + 32, key
+    return [(k, b, i) for i, o in enumerate(outputs) for k, b in o.items()]
+
+
+def test_output_split_against_entries(spark):
+    import random
+
+    rng = random.Random(5)
+    cases = [([(k, 1, 60) for k in range(4)], 100), ([(k, 1, 60) for k in range(4)], 184), ([(1, s, 50) for s in range(9)] + [(2, 1, 5)], 100)]
+    cases += [([(rng.randint(0, 30), s, rng.randint(0, 90)) for s in range(80)], rng.randint(33, 600)) for _ in range(6)]
+    for n, (rows, target) in enumerate(cases):
+        df = spark.createDataFrame([(n, *r) for r in rows], "level int, user_key bigint, sequence bigint, size bigint")
+        got = sorted((r.user_key, r.bytes, r.output) for r in mvcc.split_output(df, target).collect())
+        assert got == sorted(split(rows, target)), (rows, target)
+    assert len({r[2] for r in split(*cases[0])}) == 4
+
+
+def test_level_selection_is_exact(spark):
+    rows = [(1, 3 * 10**18 + 1, 10**9, 0), (2, 3 * 10**18 + 2, 10**9, 0), (3, 7, 8, 0), (4, 3 * 10**18 + 2, 10**9, 0)]
+    scores = spark.createDataFrame(rows, "level int, numerator bigint, denominator bigint, victim bigint")
+    assert mvcc.select_level(scores).first()["level"] == 2 and mvcc.select_level(scores.filter("level = 3")).count() == 0
+
+
+def test_manifest_faults_and_batches(spark):
+    schema = "batch int, ord bigint, action string, file_no bigint, level int, smallest bigint, largest bigint"
+    good = [(1, 1, "ADD", 1, 1, 0, 5), (1, 2, "ADD", 2, 1, 6, 9), (1, 3, "ADD", 3, 0, 0, 9), (2, 4, "REMOVE", 1, 1, 0, 0), (2, 5, "ADD", 4, 1, 2, 5)]
+    df = lambda rows: spark.createDataFrame(rows, schema)
+    assert mvcc.manifest_faults(df(good), 10).count() == 0
+    bad = [(3, 6, "ADD", 5, 1, 20, 21), (3, 7, "ADD", 2, 2, 0, 1), (3, 8, "REMOVE", 9, 1, 0, 0), (3, 9, "REMOVE", 4, 2, 0, 0), (3, 10, "ADD", 6, 1, 9, 12), (3, 11, "ADD", 10, 3, 0, 1)]
+    faults = {(r.ord, r.fault) for r in mvcc.manifest_faults(df(good + bad), 10).collect()}
+    assert faults == {(7, "file number"), (8, "removes missing file"), (9, "remove level"), (10, "level range overlap"), (11, "file number")}
+    assert sorted((r.file_no, r.level) for r in mvcc.apply_manifest(df(good + bad), 10).collect()) == [(2, 1), (3, 0), (4, 1)]
+    assert sorted(r.file_no for r in mvcc.apply_manifest(df(good), 10).collect()) == [2, 3, 4]
+    none = spark.createDataFrame([], "bytes bigint")
+    assert mvcc.write_amplification(spark.createDataFrame([(10,), (20,)], "bytes bigint"), spark.createDataFrame([(45,)], "bytes bigint")).first()["milli"] == 2500
+    assert mvcc.write_amplification(none, none).first()["milli"] is None
+
+
+def test_snapshots_are_counted(spark):
+    df = spark.createDataFrame([(5, 1), (5, 1), (5, -1), (7, 1), (7, -1)], "watermark bigint, delta bigint")
+    assert [(r.watermark, r.refs) for r in mvcc.live_snapshots(df).collect()] == [(5, 1)]
+
+
+def test_shard_faults(spark):
+    rows = [("a", s, "b", "c") for s in (0, 2, 4)] + [("z", s, "b", "c") for s in (1, 3, 5)]
+    df = lambda rows: spark.createDataFrame(rows, "source string, seed bigint, build_label string, config_hash string")
+    check = lambda rows, *a: sorted(map(tuple, ledger.shard_faults(df(rows), *a).collect()), key=str)
+    assert check(rows, 0, 6, 2, "b", "c") == []
+    more = [*rows, ("a", 1, "b", "c"), ("z", 9, "b", "c"), ("z", 7, "x", "c"), ("z", 7, "b", "x")]
+    want = [("wrong build", "z", 7), ("wrong config", "z", 7), ("outside the range", "z", 9), ("several residues", "a", None), ("several sources", None, 1), ("repeated", None, 1), ("repeated", None, 7), ("missing", None, 6)]
+    assert check(more, 0, 8, 2, "b", "c") == sorted(want, key=str)
+
+
+def test_footprints_and_quorums(spark):
+    f = spark.createDataFrame([("a", 5, 1), ("a", 6, 1), ("b", 1, 9)], "owner string, heap bigint, disk bigint")
+    assert sorted((r.owner, r.measure, r.peak) for r in ledger.breaches(f, {"heap": 10, "disk": 8}).collect()) == [("a", "heap", 11), ("b", "disk", 9)]
+
+
 def test_generation_and_orphans(spark):
     m = spark.createDataFrame([(1, True), (2, True), (3, False)], "generation bigint, valid boolean")
     none = spark.createDataFrame([], "generation bigint")
@@ -62,6 +130,10 @@ def events(spark, rows):
 def test_trace_rules(spark):
     bad = events(spark, [(0, 0, 5, 1, "A", ""), (1, 1, 4, 1, "B", ""), (2, 3, 6, 1, "A", "")])
     assert {(r.name, r.detail) for r in trace.invariants(bad).collect()} == {("trace_sequence", "1 followed by 3"), ("trace_time_order", "5us followed by 4us")}
+    gap = events(spark, [(0, 0, 1, 1, "A", ""), (1, 1, 2, 1, "B", ""), (2, 5, 1, 1, "A", "")]).drop("pos")
+    assert {(r.name, r.at) for r in trace.invariants(gap).collect()} == {("trace_sequence", 1), ("trace_time_order", 1)}
+    many = spark.createDataFrame([(7 * i,) for i in range(100)], "seq bigint").repartition(3)
+    assert [r.pos for r in trace.positions(many, ["seq"], span=50).orderBy("seq").collect()] == list(range(100))
     good = events(spark, [(0, 0, 10, 1, "A", ""), (1, 1, 10, 1, "B", ""), (2, 2, 20, 1, "A", ""), (3, 3, 20, 2, "A", "")])
     assert trace.busiest(good).first()["time_us"] == 20
     assert {r.gram for r in trace.ngrams(good.filter("seq < 3")).collect()} == {"A", "B", "A>B", "B>A", "A>B>A"}
@@ -100,6 +172,23 @@ def test_scalars(spark):
     assert scalars.prefix_end(b"a\xff") == b"b" and scalars.prefix_end(b"\xff") is None
 
 
+def test_payload_texts(spark):
+    rows = [(b"plain text",), (b"x" * 96,), (b"x" * 97,), (b"x" * 96 + b"\xff",), (b"\x00ab",), ("é".encode() * 50,), (b"",), (b"~ \x7f",)]
+    got = [tuple(r) for r in spark.createDataFrame(rows, "p binary").select(scalars.display_payload(F.col("p")), scalars.json_escape_bytes(F.col("p"))).collect()]
+    assert [g[0] for g in got] == ["plain text", "x" * 96, "x" * 96 + "\u2026", "x" * 96 + "\u2026", "0x006162", "0x" + "c3a9" * 48 + "\u2026", "", "0x7e207f"]
+    assert got[4][1] == "\\u0000\\u0061\\u0062" and got[6][1] == ""
+
+
+def test_small_scalars(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    ids = spark.createDataFrame([("0" * 32,), ("0a" * 16,), ("0A" * 16,), ("a" * 31,)], "x string")
+    assert [r[0] for r in ids.select(scalars.cluster_id(F.col("x"))).collect()] == [None, "0a" * 16, None, None]
+    assert one(scalars.xml_escape(F.lit("<a b='c\"'>&"))) == "&lt;a b=&apos;c&quot;&apos;&gt;&amp;"
+    assert one(scalars.saturating_sub(F.lit(3), F.lit(5))) == 0 and one(scalars.percent_to_p16(F.lit(50))) == 32768 and one(scalars.percent_to_p16(F.lit(100))) == 65535
+    assert one(scalars.ratio_at_least(F.lit(2**62), F.lit(3), F.lit(2**62 - 1), F.lit(3))) and not one(scalars.ratio_at_least(F.lit(1), F.lit(3), F.lit(1), F.lit(2)))
+    assert [one(scalars.hex_decode(F.lit(x))) for x in ("0aff", "0AFF", "0af")] == [b"\x0a\xff", None, None] and one(scalars.hex_encode(F.lit(b"\x0a\xff"))) == "0aff"
+
+
 def test_membership(spark):
     m = spark.createDataFrame([("c", n, i) for n, i in ((1, 5), (2, 7), (3, 3), (4, 9))], "cluster string, node bigint, match bigint")
     assert membership.commit_index(m).first()["commit"] == 5
@@ -111,6 +200,12 @@ def test_readers(spark, tmp_path):
     (tmp_path / "h.tsv").write_text("# v1\nSET\t6b\t91d6\t1\t3\nGET\t6b\t-\t2\t3\n")
     got = readers.read_history_tsv(spark, str(tmp_path / "h.tsv")).orderBy("ord").collect()
     assert [(r.ord, r.legacy_id, r.kind, r.observed) for r in got] == [(0, 3, "SET", b"\x91\xd6"), (1, 3, "GET", None)]
+    (tmp_path / "o.tsv").write_text("GET\t6b\t-\t9\t9\n\n# note\nSET\t6b\t\t1\t3\n")
+    assert [(r.ord, r.kind, r.observed) for r in readers.read_history_tsv(spark, str(tmp_path / "o.tsv")).orderBy("ord").collect()] == [(0, "GET", None), (1, "SET", b"")]
+    for line in ("GET\t6b\t-\t9\n", "GET\t6\t-\t1\t2\n", "GET\t6b\t-\tx\t2\n"):
+        (tmp_path / "m.tsv").write_text(line)
+        with pytest.raises(Exception, match="malformed"):
+            readers.read_history_tsv(spark, str(tmp_path / "m.tsv")).collect()
     (tmp_path / "l.tsv").write_text("# ledger\nheader\nb\tc\tp\t0x0022\tok\t7\t13\t29\t-\ntorn")
     assert [(r.seed, r.events, r.artifact_hash) for r in readers.read_ledger_tsv(spark, str(tmp_path / "l.tsv")).collect()] == [(34, 7, None)]
     (tmp_path / "bad.tsv").write_text("# ledger\nheader\nb\tc\n")
@@ -130,8 +225,9 @@ def test_frames_and_commands(spark, tmp_path):
     frame = lambda r: struct.pack("<II", len(r), readers.crc(r)) + r
     whole = frame(b"one") + frame(b"two")
     assert [r for _, r in readers.framed_records(whole + frame(b"torn")[:-1])] == [b"one", b"two"]
-    with pytest.raises(ValueError):
-        list(readers.framed_records(whole[:-1] + b"X"))
+    for bad in (whole[:-1] + b"X", whole + struct.pack("<II", 0, 0), whole + struct.pack("<I", 1 << 30) + b"1234"):
+        with pytest.raises(ValueError):
+            list(readers.framed_records(bad))
     (tmp_path / "w.resp").write_bytes(b"*3\r\n$3\r\nset\r\n$1\r\nk\r\n$1\r\nv\r\n*2\r\n$3\r\nGET\r\n$1\r\nk\r\n*1\r\n$3\r\nGET\r\n*2\r\n$3")
     rows = readers.parse_commands(readers.read_resp(spark, str(tmp_path / "w.resp"))).orderBy("ord").collect()
     assert [(r.verb, r.key and bytes(r.key), r.valid) for r in rows] == [("SET", b"k", True), ("GET", b"k", True), ("GET", None, False)]
@@ -151,3 +247,42 @@ def test_binary_traces(spark, tmp_path):
         with pytest.raises((ValueError, struct.error)):
             list(readers.trace_events(bad))
     assert list(readers.trace_events(data.replace(b"\x1c\x01\0\0\0x", b"\xc8\x01\0\0\0x")))[0][5] == "kind-200"
+
+
+def test_history_containers(spark, tmp_path):
+    from tidemark.operators import linearize
+    from tidemark.sources import sinks
+
+    base = {"client": 1, "sequence": 1}
+    ops = [
+        base | {"id": 1, "invoke": 0, "complete": 1, "kind": "SET", "key": b"k", "value": b"v", "outcome": "ok", "deadline": 99},
+        base | {"id": 2, "invoke": 2, "complete": 3, "kind": "GET", "key": b"k", "outcome": "ok", "out_value": b"v"},
+        base | {"id": 3, "invoke": 4, "complete": 5, "kind": "GET", "key": b"x", "outcome": "ok", "out_value": None, "consistency": "stale"},
+        base | {"id": 4, "invoke": 4, "complete": 5, "kind": "CAS", "key": b"k", "expected": None, "value": b"w", "outcome": "fail"},
+        base | {"id": 5, "invoke": 6, "complete": 7, "kind": "INCR", "key": b"n", "outcome": "ok", "out_int": -4},
+        base | {"id": 6, "invoke": 8, "complete": 9, "kind": "SCAN", "prefix": b"k", "scan_limit": 7, "outcome": "ok", "out_pairs": [{"key": b"k", "value": b"v"}]},
+        base | {"id": 7, "invoke": 10, "complete": 11, "kind": "BATCH", "commands": [{"kind": "SET", "key": b"z", "value": b"1"}, {"kind": "GET", "key": b"z"}], "outcome": "ok", "replies": [{"outcome": "ok"}, {"outcome": "ok", "out_value": b"1"}]},
+        base | {"id": 8, "invoke": 12, "complete": None, "kind": "DEL", "key": b"k", "outcome": "timeout"},
+        base | {"id": 9, "invoke": 13, "complete": 14, "kind": "GET", "key": b"k", "outcome": "error", "probe": "replica", "consistency": "diagnostic", "replica": 3, "committed_index": 9, "state_hash": -5},
+    ]
+    data = sinks.history_bytes(ops, "build", 0xABC, {b"n": b"-5"})
+    (tmp_path / "h.bin").write_bytes(data)
+    df = readers.read_history(spark, str(tmp_path / "h.bin"))
+    rows = df.orderBy("ord").collect()
+    assert [r.id for r in rows] == list(range(1, 10)) and {r.config_hash for r in rows} == {"0000000000000abc"}
+    assert (rows[0].deadline, rows[3].outcome, rows[4].out_int, rows[7].complete, rows[8].state_hash, rows[8].probe) == (99, "fail", -4, None, -5, "replica")
+    assert [(bytes(c["key"]), c["kind"]) for c in rows[6].commands] == [(b"z", "SET"), (b"z", "GET")] and bytes(rows[6].replies[1]["out_value"]) == b"1"
+    start = readers.read_history_initial(spark, str(tmp_path / "h.bin"))
+    assert [(bytes(r.key), bytes(r.value)) for r in start.collect()] == [(b"n", b"-5")]
+    sinks.write_history(df, str(tmp_path / "again.bin"), build="build", config_hash=0xABC, initial={b"n": b"-5"})
+    assert (tmp_path / "again.bin").read_bytes() == data
+    # older versions have no deadlines, modes or batches
+    old = sinks.history_bytes(ops[:1])
+    assert readers.history_operations(old[:4] + b"\x02\x00" + old[6:-11])[1][0]["consistency"] == "strong"
+    for bad in (data[:-1], data + b"!", b"NOPE" + data[4:], data[:4] + b"\x05\x00" + data[6:], data[:4] + b"\x03\x00" + data[6:], sinks.history_bytes(ops[:1] * 2)):
+        with pytest.raises(ValueError):
+            readers.history_operations(bad)
+    text = lambda c: F.decode(c, "UTF-8")
+    shown = df.filter("kind <> 'SCAN' AND kind <> 'BATCH'").select(*[text(c).alias(c) if c in ("key", "value", "expected", "out_value") else c for c in ("run_id", "id", "invoke", "complete", "kind", "key", "value", "expected", "outcome", "out_value", "out_int", "deadline", "consistency", "probe")])
+    got = {r.key: r.verdict for r in linearize.check(shown, ["run_id"], initial=start.select("run_id", text("key").alias("key"), text("value").alias("value"))).collect()}
+    assert got == {"k": "linearizable", "n": "linearizable"}
