@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import quantiles, scalars
-from ..operators import clock, history, ledger, linearize, membership, mvcc, relational, replay, sessions, trace
+from ..operators import clock, explain, history, ledger, linearize, membership, mvcc, relational, replay, sessions, trace, transactions
 from ..shipping import shipped
 from ..sources import views as v
-from ..streaming import windows
+from ..streaming import stateful, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -125,17 +125,50 @@ def kv_write_classes(s, d):
     return v.v_log(s, d).groupBy("key").agg(F.bool_or(F.col("op") == "SET").alias("ever_set"), F.count_if(write).alias("writes"), F.count_if(~write).alias("others"))
 
 
+BATCH = "array<struct<kind: string, key: binary, value: binary, expected: binary, delta: bigint, ttl_ns: bigint, at_ns: bigint, condition: string, scan_start: binary, scan_end: binary, scan_limit: int>>"
+
+
 def _commands(s, d):
     log = v.v_log(s, d)
-    kind = F.when(F.col("log_index") % 11 == 0, "PERSIST").when(F.col("log_index") % 7 == 0, "APPEND").otherwise(F.col("op"))
+    i, now = F.col("log_index"), F.col("t_us") * 1000
+    kind = F.when(i % 11 == 0, "PERSIST").when(i % 7 == 0, "APPEND").when(i % 13 == 0, "EXPIREAT").otherwise(F.col("op"))
     b = lambda c: F.encode(c, "UTF-8")
     none = lambda t: F.lit(None).cast(t)
-    return log.select("log_index", (F.col("t_us") * 1000).alias("leader_time_ns"), kind.alias("kind"), b(F.col("key")).alias("key"), b(F.col("value").cast("string")).alias("value"), none("binary").alias("expected"), F.lit(1).cast("bigint").alias("delta"), F.when((kind == "SET") & (F.col("k") < 50), F.col("k") * 3_600_000_000_000).when(kind == "EXPIRE", F.col("k") * 3_600_000_000_000).alias("ttl_ns"), none("bigint").alias("at_ns"), F.when((kind == "SET") & (F.col("log_index") % 5 == 0), "NX").alias("condition"), none("binary").alias("scan_start"), none("binary").alias("scan_end"), none("int").alias("scan_limit"), none("array<struct<kind: string, key: binary, value: binary, expected: binary, delta: bigint, ttl_ns: bigint, at_ns: bigint, condition: string, scan_start: binary, scan_end: binary, scan_limit: int>>").alias("batch"))
-
-
-@query()
+    ttl = F.when(((kind == "SET") & (F.col("k") < 50)) | (kind == "EXPIRE"), F.col("k") * 3_600_000_000_000)
+    columns = {
+        "log_index": i,
+        "leader_time_ns": now,
+        "kind": kind,
+        "key": b(F.col("key")),
+        "value": b(F.col("value").cast("string")),
+        "expected": none("binary"),
+        "delta": F.when(i % 17 == 0, F.lit(9_007_199_254_740_993)).otherwise(F.lit(1)).cast("bigint"),
+        "ttl_ns": ttl,
+        "at_ns": F.when(kind == "EXPIREAT", now + F.col("k") * 1_800_000_000_000 + i % 1000),
+        "condition": F.when((kind == "SET") & (i % 5 == 0), "NX"),
+        "scan_start": none("binary"),
+        "scan_end": none("binary"),
+        "scan_limit": none("int"),
+        "batch": none(BATCH),
+    }
+    return log.select(*[c.alias(name) for name, c in columns.items()])
+
+
+@query(f"""WITH RECURSIVE {v.V_LOG}, c AS (SELECT log_index, key, CAST(value AS VARCHAR) AS value, k, max(t_us) OVER (ORDER BY log_index) * 1000 AS now, t_us * 1000 AS own,
+  CASE WHEN log_index % 11 = 0 THEN 'PERSIST' WHEN log_index % 7 = 0 THEN 'APPEND' WHEN log_index % 13 = 0 THEN 'EXPIREAT' ELSE op END AS kind, CAST(CASE WHEN log_index % 17 = 0 THEN 9007199254740993 ELSE 1 END AS HUGEINT) AS delta FROM v_log),
+r AS (SELECT *, log_index % 5 = 0 AS nx, row_number() OVER (PARTITION BY key ORDER BY log_index) AS n FROM c),
+f AS (SELECT key, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS held, CAST(NULL AS BIGINT) AS due, CAST(NULL AS BIGINT) AS log_index, CAST(NULL AS VARCHAR) AS reply FROM (SELECT DISTINCT key FROM r)
+UNION ALL SELECT key, n,
+  CASE WHEN kind = 'SET' AND (NOT nx OR live IS NULL) THEN value WHEN kind = 'SET' THEN held WHEN kind = 'DEL' THEN NULL WHEN kind = 'APPEND' THEN coalesce(live, '') || value WHEN kind = 'INCR' AND total IS NOT NULL THEN CAST(total AS VARCHAR) ELSE held END,
+  CASE WHEN kind = 'SET' AND (NOT nx OR live IS NULL) THEN CASE WHEN k < 50 THEN now + k * 3600000000000 END WHEN kind IN ('DEL', 'PERSIST') AND (kind = 'DEL' OR held IS NOT NULL) THEN NULL WHEN kind = 'EXPIRE' AND live IS NOT NULL THEN now + k * 3600000000000 WHEN kind = 'EXPIREAT' AND live IS NOT NULL THEN own + k * 1800000000000 + li % 1000 ELSE due END,
+  li,
+  CASE kind WHEN 'SET' THEN CASE WHEN NOT nx THEN 'OK' WHEN live IS NULL THEN 'true' ELSE 'false' END WHEN 'DEL' THEN '1' WHEN 'GET' THEN coalesce('"' || live || '"', 'nil') WHEN 'APPEND' THEN CAST(length(coalesce(live, '') || value) AS VARCHAR)
+    WHEN 'INCR' THEN coalesce(CAST(total AS VARCHAR), 'error:not-numeric') WHEN 'PERSIST' THEN CASE WHEN held IS NOT NULL AND due IS NOT NULL THEN '1' ELSE '0' END ELSE CASE WHEN live IS NULL THEN '0' ELSE '1' END END
+FROM (SELECT *, CASE WHEN old + delta BETWEEN -9223372036854775808 AND 9223372036854775807 THEN old + delta END AS total FROM (SELECT *, CAST(TRY_CAST(coalesce(live, '0') AS BIGINT) AS HUGEINT) AS old FROM (
+  SELECT r.key, r.n, r.kind, r.value, r.k, r.now, r.own, r.delta, r.nx, r.log_index AS li, f.held, f.due, CASE WHEN f.due IS NULL OR f.due > r.now THEN f.held END AS live FROM f JOIN r ON r.key = f.key AND r.n = f.n + 1))))
+SELECT log_index, reply FROM f WHERE n > 0""")
 def kv_general_replay(s, d):
-    """Every reply of a log with conditional writes, deadlines, appends and PERSIST: no closed form."""
+    """Every reply of a log with conditional writes, deadlines, appends, large increments and PERSIST: no closed form."""
     return replay.replay(_commands(s, d))
 
 
@@ -144,15 +177,44 @@ def kv_general_replay(s, d):
 
 def _requests(s, d):
     log = v.v_log(s, d)
-    return log.select("log_index", (F.col("client") % 2).cast("int").alias("namespace"), "client", F.expr("log_index div 3").alias("sequence"), "op", (F.col("t_us") * 1000).alias("now_ns")).withColumnRenamed("op", "command")
+    reply = F.concat(F.lit("r"), F.col("log_index").cast("string"))
+    sequence = F.when(F.col("log_index") % 29 == 0, 0).otherwise(F.expr("log_index div 3"))
+    return log.select("log_index", (F.col("client") % 2).cast("int").alias("namespace"), (F.col("client") % 40).alias("client"), sequence.cast("bigint").alias("sequence"), F.col("op").alias("command"), (F.col("t_us") * 1000).alias("now_ns"), reply.alias("reply"))
 
 
-@query()
+_REQUESTS = "q AS (SELECT log_index, client % 2 AS namespace, client % 40 AS client, CASE WHEN log_index % 29 = 0 THEN 0 ELSE log_index // 3 END AS sequence, op AS command, t_us * 1000 AS now_ns, concat('r', log_index) AS reply FROM v_log)"
+
+
+@query(f"""WITH RECURSIVE {v.V_LOG}, {_REQUESTS}, r AS (SELECT *, row_number() OVER (PARTITION BY namespace, client ORDER BY log_index) AS n FROM q),
+f AS (SELECT namespace, client, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS cmd, CAST(NULL AS VARCHAR) AS held, CAST(0 AS BIGINT) AS active, CAST(NULL AS BIGINT) AS blocked, CAST(NULL AS BIGINT) AS log_index, CAST(NULL AS VARCHAR) AS decision, CAST(NULL AS VARCHAR) AS reply FROM (SELECT DISTINCT namespace, client FROM r)
+UNION ALL SELECT namespace, client, n, CASE d WHEN 'apply' THEN CASE WHEN sequence = 0 THEN seq ELSE sequence END WHEN 'expires' THEN NULL ELSE seq END, CASE WHEN d = 'apply' AND sequence > 0 THEN command WHEN d = 'expires' THEN NULL ELSE cmd END, CASE WHEN d = 'apply' AND sequence > 0 THEN given WHEN d = 'expires' THEN NULL ELSE held END,
+  CASE WHEN sequence > 0 AND d IN ('apply', 'cached', 'sequence-conflict') THEN now_ns ELSE active END, CASE WHEN sequence = 0 THEN blocked WHEN d = 'expires' THEN now_ns + 300000000000 WHEN blocked <= now_ns THEN NULL ELSE blocked END, li, CASE d WHEN 'expires' THEN 'session-expired' ELSE d END, CASE d WHEN 'apply' THEN given WHEN 'cached' THEN held END
+FROM (SELECT r.namespace, r.client, r.n, f.seq, f.cmd, f.held, f.active, f.blocked, r.sequence, r.command, r.now_ns, r.reply AS given, r.log_index AS li,
+  CASE WHEN r.sequence = 0 THEN 'apply' WHEN f.blocked > r.now_ns THEN 'session-expired' WHEN f.seq IS NOT NULL AND r.now_ns - f.active > 1800000000000 THEN 'expires' WHEN r.sequence < f.seq THEN 'stale-seq' WHEN r.sequence = f.seq THEN CASE WHEN f.cmd = r.command THEN 'cached' ELSE 'sequence-conflict' END ELSE 'apply' END AS d
+  FROM f JOIN r ON r.namespace = f.namespace AND r.client = f.client AND r.n = f.n + 1))
+SELECT log_index, decision, reply FROM f WHERE n > 0""")
 def session_dedup(s, d):
     return sessions.decide(_requests(s, d))
 
 
-@query(f"WITH {v.V_LOG} SELECT client, count(*) AS requests, count(DISTINCT log_index // 3) AS distinct_sequences FROM v_log GROUP BY client HAVING count(DISTINCT log_index // 3) < count(*)")
+_SESSIONS = f"{v.V_LOG}, ss AS (SELECT client % 2 AS namespace, client, client % 5 = 0 AS tombstone, max(t_us) * 1000 AS last_active, max(t_us) * 1000 + 86400000000000 AS expires_at FROM v_log GROUP BY client), now AS (SELECT min(last_active) + 1800000000000 AS t FROM ss WHERE client % 7 = 3)"
+
+
+def _session_table(s, d):
+    last = F.max("t_us") * 1000
+    rows = v.v_log(s, d).groupBy("client").agg(last.alias("last_active"), (last + 86_400_000_000_000).alias("expires_at"))
+    return rows.select((F.col("client") % 2).alias("namespace"), "client", (F.col("client") % 5 == 0).alias("tombstone"), "last_active", "expires_at")
+
+
+@query(f"WITH {_SESSIONS} SELECT namespace, client, tombstone FROM ss, now WHERE CASE WHEN tombstone THEN expires_at ELSE last_active + 1800000000000 END <= t ORDER BY CASE WHEN tombstone THEN expires_at ELSE last_active + 1800000000000 END, namespace, client, tombstone LIMIT 50")
+def session_expire(s, d):
+    """The first fifty due at the very instant at which some session's idle time ends."""
+    rows = _session_table(s, d)
+    now = rows.filter("client % 7 = 3").agg(F.min("last_active")).first()[0]
+    return sessions.expire(rows, (now or 0) + sessions.IDLE_NS, 50).select("namespace", "client", "tombstone")
+
+
+@query(f"WITH {v.V_LOG}, {_REQUESTS} SELECT client, count(*) AS requests, count(DISTINCT sequence) AS distinct_sequences FROM q GROUP BY client HAVING count(DISTINCT sequence) < count(*)")
 def session_duplicates(s, d):
     return _requests(s, d).groupBy("client").agg(F.count("*").alias("requests"), F.count_distinct("sequence").alias("distinct_sequences")).filter("distinct_sequences < requests")
 
@@ -164,6 +226,44 @@ def session_idle(s, d):
     return log.groupBy("client").agg(F.max("t_us").alias("last_active")).join(F.broadcast(end), F.col("e") - F.col("last_active") > 1_800_000_000).drop("e")
 
 
+# ---- transactions and replica reads
+
+_VERBS = "CASE WHEN i % 7 = 0 THEN 'MULTI' WHEN i % 7 = 5 THEN 'EXEC' WHEN i % 41 = 3 THEN 'DISCARD' WHEN i % 13 = 4 THEN 'SCAN' WHEN i % 3 = 0 THEN 'DEL' ELSE 'SET' END"
+
+
+def _connection_commands(s, d):
+    i = F.col("ord")
+    rows = v.v_log(s, d).select((F.col("client") % 20).alias("connection"), F.col("log_index").alias("ord"))
+    verb = F.expr(_VERBS.replace("i %", "ord %"))
+    return rows.select("connection", "ord", verb.alias("verb"), F.when(i % 17 == 0, 2).otherwise(1).alias("keys"))
+
+
+@query(f"""WITH RECURSIVE {v.V_LOG}, c AS (SELECT client % 20 AS connection, log_index AS i, CASE WHEN log_index % 17 = 0 THEN 2 ELSE 1 END AS keys FROM v_log), r AS (SELECT *, {_VERBS} AS verb, row_number() OVER (PARTITION BY connection ORDER BY i) AS n FROM c),
+f AS (SELECT connection, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS tx, false AS dirty, 0 AS queued, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS VARCHAR) AS verb, 0 AS keys, CAST(NULL AS BIGINT) AS transaction, CAST(NULL AS VARCHAR) AS reply FROM (SELECT DISTINCT connection FROM r)
+UNION ALL SELECT f.connection, r.n, CASE WHEN r.verb IN ('EXEC', 'DISCARD') THEN NULL WHEN r.verb = 'MULTI' AND f.tx IS NULL THEN r.i ELSE f.tx END,
+  CASE WHEN r.verb IN ('EXEC', 'DISCARD') THEN false WHEN f.tx IS NULL OR r.verb = 'MULTI' THEN f.dirty ELSE f.dirty OR r.verb = 'SCAN' OR (r.verb = 'DEL' AND r.keys <> 1) OR f.queued >= 2 END,
+  CASE WHEN r.verb IN ('EXEC', 'DISCARD') OR f.tx IS NULL THEN 0 WHEN r.verb IN ('SET', 'DEL') AND NOT f.dirty AND (r.verb = 'SET' OR r.keys = 1) AND f.queued < 2 THEN f.queued + 1 ELSE f.queued END,
+  r.i, r.verb, r.keys, f.tx,
+  CASE WHEN r.verb = 'MULTI' THEN CASE WHEN f.tx IS NULL THEN 'OK' ELSE 'ERR nested' END WHEN r.verb IN ('EXEC', 'DISCARD') AND f.tx IS NULL THEN 'ERR ' || r.verb || ' without MULTI' WHEN r.verb = 'DISCARD' THEN 'OK' WHEN r.verb = 'EXEC' THEN CASE WHEN f.dirty THEN 'EXECABORT' ELSE 'EXEC ' || f.queued END
+    WHEN f.tx IS NULL THEN 'IMMEDIATE' WHEN f.dirty THEN 'ERR already dirty' WHEN r.verb = 'SCAN' OR (r.verb = 'DEL' AND r.keys <> 1) THEN 'ERR cannot be queued' WHEN f.queued >= 2 THEN 'ERR batch limits' ELSE 'QUEUED' END
+FROM f JOIN r ON r.connection = f.connection AND r.n = f.n + 1)
+SELECT connection, ord, verb, keys, transaction, reply FROM f WHERE n > 0""")
+def transactions_multi(s, d):
+    """The MULTI queue of twenty connections, with at most two commands a transaction."""
+    return transactions.multi(_connection_commands(s, d), most=2)
+
+
+_READS = "g AS (SELECT log_index AS read_id, key, CASE WHEN log_index % 2 = 0 THEN 'stale' ELSE 'follower' END AS mode, log_index - 5 AS read_index, log_index - log_index % 9 AS applied_index FROM v_log WHERE op = 'GET')"
+
+
+@query(f"""WITH {v.V_LOG}, {_READS}, w AS (SELECT * FROM v_log WHERE op IN ('SET', 'DEL')) SELECT g.read_id, g.key, g.mode, CASE WHEN g.mode = 'stale' OR applied_index >= read_index THEN 'ok' ELSE 'retry' END AS status,
+CASE WHEN g.mode = 'stale' OR applied_index >= read_index THEN applied_index END AS served_index, CASE WHEN (g.mode = 'stale' OR applied_index >= read_index) AND w.op = 'SET' THEN w.value END AS value FROM g ASOF LEFT JOIN w ON g.key = w.key AND g.applied_index >= w.log_index""")
+def kv_replica_reads(s, d):
+    log, i = v.v_log(s, d), F.col("log_index")
+    reads = log.filter("op = 'GET'").select(i.alias("read_id"), "key", F.when(i % 2 == 0, "stale").otherwise("follower").alias("mode"), (i - 5).alias("read_index"), (i - i % 9).alias("applied_index"))
+    return transactions.replica_reads(log, reads)
+
+
 # ---- ST: versions and files
 
 
@@ -187,9 +287,18 @@ def mvcc_compaction_keep(s, d):
     return mvcc.compaction_keep(v.v_versions(s, d), [4000, 9000]).select("user_key", "sequence")
 
 
-@query(f"WITH {v.V_FILES} SELECT x.user_key, x.sequence FROM v_versions x JOIN v_files f USING (file_no) WHERE x.kind = 'DEL' AND x.sequence < 9000 AND f.level = 2 AND NOT EXISTS (SELECT 1 FROM v_files g WHERE g.level > 2 AND x.user_key BETWEEN g.smallest AND g.largest)")
+_NARROW = v.V_FILES + ", narrow AS (SELECT file_no, level, file_no * 23 % 1300 AS smallest, file_no * 23 % 1300 + 11 AS largest FROM v_files)"
+
+
+def _narrow(s, d):
+    """Files whose ranges leave keys between them."""
+    low = F.col("file_no") * 23 % 1300
+    return v.v_files(s, d).select("file_no", "level", low.alias("smallest"), (low + 11).alias("largest"))
+
+
+@query(f"WITH {_NARROW} SELECT x.user_key, x.sequence FROM v_versions x JOIN narrow f USING (file_no) WHERE x.kind = 'DEL' AND x.sequence < 9000 AND f.level = 2 AND NOT EXISTS (SELECT 1 FROM narrow g WHERE g.level > 2 AND x.user_key BETWEEN g.smallest AND g.largest)")
 def mvcc_droppable_tombstones(s, d):
-    return mvcc.droppable_tombstones(v.v_versions(s, d), v.v_files(s, d), 9000, 2).select("user_key", "sequence")
+    return mvcc.droppable_tombstones(v.v_versions(s, d), _narrow(s, d), 9000, 2).select("user_key", "sequence")
 
 
 @query(f"WITH {v.V_FILES} SELECT level, CASE WHEN level = 0 THEN count(*) ELSE CAST(sum(file_size) AS BIGINT) END AS numerator, CASE WHEN level = 0 THEN 4 ELSE CAST(8388608 * power(10, level - 1) AS BIGINT) END AS denominator, min(file_no) AS victim FROM v_files GROUP BY level")
@@ -244,17 +353,46 @@ def mvcc_orphans(s, d):
     return mvcc.orphans(v.v_files(s, d), mvcc.replay_manifest(_edits(s, d))).select("file_no")
 
 
-@query()
+@query(f"""WITH RECURSIVE {v.V_VERSIONS}, e AS (SELECT file_no % 4 AS level, user_key, sequence, length(CAST(value AS VARCHAR)) * 8 + 32 AS w FROM v_versions),
+k AS (SELECT level, user_key, CAST(sum(w) AS BIGINT) AS bytes, CAST(max_by(w, sequence) AS BIGINT) AS first, row_number() OVER (PARTITION BY level ORDER BY user_key) AS n FROM e GROUP BY level, user_key),
+f AS (SELECT level, user_key, bytes, n, bytes AS held, 0 AS output FROM k WHERE n = 1
+UNION ALL SELECT k.level, k.user_key, k.bytes, k.n, CASE WHEN f.held + k.first > 4096 THEN k.bytes ELSE f.held + k.bytes END, CASE WHEN f.held + k.first > 4096 THEN f.output + 1 ELSE f.output END FROM f JOIN k ON k.level = f.level AND k.n = f.n + 1)
+SELECT level, user_key, bytes, output FROM f""")
 def mvcc_split_output(s, d):
-    entries = v.v_versions(s, d).select(F.expr("cast(file_no % 4 as bigint)").alias("level"), "user_key", "sequence", F.lit(64).cast("bigint").alias("size"))
+    size = F.length(F.col("value").cast("string")).cast("bigint") * 8
+    entries = v.v_versions(s, d).select(F.expr("cast(file_no % 4 as bigint)").alias("level"), "user_key", "sequence", size.alias("size"))
     return mvcc.split_output(entries, most_bytes=4096)
 
 
-@query(f"WITH {v.V_FILES}, RECURSIVE_SEED AS (SELECT smallest AS a, largest AS b FROM v_files WHERE level = 1 ORDER BY file_no LIMIT 1) SELECT f.file_no FROM v_files f, RECURSIVE_SEED z WHERE f.level IN (1, 2) AND f.smallest <= z.b AND f.largest >= z.a")
-def mvcc_overlap_first_step(s, d):
-    files = v.v_files(s, d)
-    first = files.filter("level = 1").orderBy("file_no").limit(1).select(F.col("smallest").alias("a"), F.col("largest").alias("b"))
-    return files.filter("level IN (1, 2)").join(F.broadcast(first), (F.col("smallest") <= F.col("b")) & (F.col("largest") >= F.col("a"))).select("file_no")
+@query(f"""WITH RECURSIVE {_NARROW}, g AS (SELECT * FROM narrow WHERE level IN (1, 2)), c AS (SELECT smallest AS a, largest AS b, 0 AS n FROM g WHERE level = 1 ORDER BY file_no LIMIT 1),
+z AS (SELECT a, b, n FROM c UNION ALL SELECT least(z.a, (SELECT min(smallest) FROM g WHERE smallest <= z.b AND largest >= z.a)), greatest(z.b, (SELECT max(largest) FROM g WHERE smallest <= z.b AND largest >= z.a)), z.n + 1 FROM z
+  WHERE EXISTS (SELECT 1 FROM g WHERE smallest <= z.b AND largest >= z.a AND (smallest < z.a OR largest > z.b)))
+SELECT g.file_no FROM g, (SELECT a, b FROM z ORDER BY n DESC LIMIT 1) w WHERE g.smallest <= w.b AND g.largest >= w.a""")
+def mvcc_overlap_closure(s, d):
+    files = _narrow(s, d)
+    first = files.filter("level = 1").orderBy("file_no").limit(1).first()
+    return mvcc.overlap_closure(files, 1, first["smallest"], first["largest"]).select("file_no") if first else files.limit(0).select("file_no")
+
+
+_MANIFEST = "o AS (SELECT o_orderkey AS ord, CASE WHEN o_custkey % 3 = 0 THEN 'REMOVE' ELSE 'ADD' END AS action, o_custkey % 700 AS file_no, o_custkey % 3 AS level, o_custkey % 700 * 17 % 900 AS smallest, o_custkey % 700 * 17 % 900 + 1 AS largest FROM orders), p AS (SELECT *, lag(action) OVER w AS was, lag(level) OVER w AS old, min(CASE WHEN action = 'REMOVE' THEN ord END) OVER (PARTITION BY file_no ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS until FROM o WINDOW w AS (PARTITION BY file_no ORDER BY ord))"
+
+
+def _manifest(s, d):
+    k, file_no = F.col("o_custkey"), F.col("o_custkey") % 700
+    return v.read(s, d, "orders").select(F.col("o_orderkey").alias("ord"), F.when(k % 3 == 0, "REMOVE").otherwise("ADD").alias("action"), file_no.alias("file_no"), (k % 3).alias("level"), (file_no * 17 % 900).alias("smallest"), (file_no * 17 % 900 + 1).alias("largest"))
+
+
+@query(f"""WITH {_MANIFEST} SELECT ord, file_no, CASE WHEN action = 'ADD' THEN 'file number' WHEN was IS DISTINCT FROM 'ADD' THEN 'removes missing file' ELSE 'remove level' END AS fault FROM p
+WHERE (action = 'ADD' AND (was = 'ADD' OR file_no >= 650)) OR (action = 'REMOVE' AND (was IS DISTINCT FROM 'ADD' OR old <> level))
+UNION ALL SELECT ord, file_no, 'level range overlap' FROM p a WHERE action = 'ADD' AND level > 0 AND EXISTS (SELECT 1 FROM p b WHERE b.action = 'ADD' AND b.level = a.level AND b.file_no <> a.file_no AND b.ord < a.ord AND (b.until IS NULL OR b.until > a.ord) AND b.smallest <= a.largest AND a.smallest <= b.largest)""")
+def mvcc_manifest_faults(s, d):
+    return mvcc.manifest_faults(_manifest(s, d), 650)
+
+
+@query(f"WITH {v.V_FILES} SELECT a.n AS flushed, b.n AS compacted, CAST((a.n + b.n) * 1000 // a.n AS BIGINT) AS milli FROM (SELECT CAST(sum(file_size) AS BIGINT) AS n FROM v_files WHERE level = 0) a, (SELECT CAST(sum(file_size) AS BIGINT) AS n FROM v_files WHERE level > 0) b")
+def mvcc_write_amplification(s, d):
+    files = v.v_files(s, d).select("level", F.col("file_size").alias("bytes"))
+    return mvcc.write_amplification(files.filter("level = 0"), files.filter("level > 0"))
 
 
 # ---- LG: ledgers and samples
@@ -276,15 +414,28 @@ def ledger_conflicts(s, d):
     return ledger.conflicts(rows, ["profile", "seed"])
 
 
-@query(f"WITH {v.V_LEDGER} SELECT * FROM v_ledger WHERE seed % 2 = 0 UNION SELECT * FROM v_ledger WHERE seed % 3 = 0")
+@query(f"WITH {v.V_LEDGER} SELECT * FROM v_ledger WHERE profile <> 'F' UNION SELECT * FROM v_ledger WHERE profile <> 'O'")
 def ledger_merge(s, d):
     rows = v.v_ledger(s, d)
-    return ledger.merge(rows.filter("seed % 2 = 0"), rows.filter("seed % 3 = 0"))
+    return ledger.merge(rows.filter("profile <> 'F'"), rows.filter("profile <> 'O'"))  # two ledgers with a common part
 
 
-@query(f"WITH {v.V_LEDGER}, w AS (SELECT CAST(range AS BIGINT) AS seed FROM range(0, 3000)) SELECT w.seed, count(l.seed) AS sources FROM w LEFT JOIN v_ledger l ON l.seed = w.seed AND l.profile = 'O' GROUP BY w.seed HAVING count(l.seed) <> 1")
+@query(f"""WITH {v.V_LEDGER}, l AS (SELECT *, 's' || CAST(CASE WHEN seed % 37 = 0 THEN 0 ELSE seed % 4 END AS VARCHAR) AS source FROM v_ledger WHERE build_label <> '5-LOW' OR seed % 10 = 0), e AS (SELECT max(seed) - 5 AS e FROM v_ledger)
+SELECT CASE WHEN build_label = '5-LOW' THEN 'wrong build' WHEN config_hash <> 'c1' THEN 'wrong config' ELSE 'outside the range' END AS fault, source, seed FROM l, e WHERE build_label = '5-LOW' OR config_hash <> 'c1' OR seed < 2 OR seed >= e
+UNION ALL SELECT 'several residues', source, NULL FROM l GROUP BY source HAVING count(DISTINCT seed % 4) > 1
+UNION ALL SELECT 'several sources', NULL, seed % 4 FROM l GROUP BY seed % 4 HAVING count(DISTINCT source) > 1
+UNION ALL SELECT CASE WHEN count(l.seed) = 0 THEN 'missing' ELSE 'repeated' END, NULL, w.seed FROM (SELECT CAST(unnest(range(2, (SELECT e FROM e))) AS BIGINT) AS seed) w LEFT JOIN l USING (seed) GROUP BY w.seed HAVING count(l.seed) <> 1""")
+def ledger_shard_faults(s, d):
+    rows = v.v_ledger(s, d)
+    source = F.concat(F.lit("s"), F.when(F.col("seed") % 37 == 0, 0).otherwise(F.col("seed") % 4).cast("string"))
+    kept = rows.filter("build_label <> '5-LOW' OR seed % 10 = 0").withColumn("build_label", F.when(F.col("build_label") == "5-LOW", "low").otherwise("own")).withColumn("source", source)
+    return ledger.shard_faults(kept, 2, rows.agg(F.max("seed")).first()[0] - 5, 4, "own", "c1")
+
+
+@query(f"WITH {v.V_LEDGER}, w AS (SELECT CAST(unnest(range(0, (SELECT max(seed) + 1 FROM v_ledger))) AS BIGINT) AS seed) SELECT w.seed, count(l.seed) AS sources FROM w LEFT JOIN v_ledger l ON l.seed = w.seed AND l.profile = 'O' GROUP BY w.seed HAVING count(l.seed) <> 1")
 def ledger_coverage(s, d):
-    return ledger.coverage(v.v_ledger(s, d).filter("profile = 'O'"), 0, 3000)
+    rows = v.v_ledger(s, d)
+    return ledger.coverage(rows.filter("profile = 'O'"), 0, rows.agg(F.max("seed")).first()[0] + 1)
 
 
 @query(f"WITH {v.V_LEDGER} SELECT build_label AS source, list_sort(list(DISTINCT seed % 4)) AS residues FROM v_ledger GROUP BY build_label HAVING count(DISTINCT seed % 4) > 1")
@@ -292,9 +443,10 @@ def ledger_shard_residues(s, d):
     return ledger.shard_residues(v.v_ledger(s, d).withColumnRenamed("build_label", "source"), 4)
 
 
-@query(f"WITH {v.V_LEDGER} SELECT CAST(range AS BIGINT) AS seed FROM range(0, 2000) WHERE range NOT IN (SELECT seed FROM v_ledger WHERE verdict = 'ok')")
+@query(f"WITH {v.V_LEDGER} SELECT seed FROM (SELECT CAST(unnest(range(0, (SELECT max(seed) + 1 FROM v_ledger))) AS BIGINT) AS seed) WHERE seed NOT IN (SELECT seed FROM v_ledger WHERE verdict = 'ok')")
 def ledger_resume(s, d):
-    return ledger.todo(0, 2000, v.v_ledger(s, d))
+    rows = v.v_ledger(s, d)
+    return ledger.todo(0, rows.agg(F.max("seed")).first()[0] + 1, rows)
 
 
 @query(f"WITH {v.V_LEDGER} SELECT profile, count(*) AS n, count(*) FILTER (verdict = 'ok') AS ok, count(*) FILTER (verdict = 'undecided') AS undecided, count(*) FILTER (verdict = 'failed') AS failed, string_agg(DISTINCT config_hash, ',' ORDER BY config_hash) AS configs FROM v_ledger WHERE build_label <> '1-URGENT' GROUP BY profile")
@@ -347,9 +499,14 @@ def samples_residual(s, d):
 # ---- HX: traces
 
 
-@query(f"WITH {v.V_TRACE}, x AS (SELECT seq, time_us, lag(time_us) OVER (ORDER BY seq) AS p FROM v_trace) SELECT 'trace_time_order' AS name, seq - 1 AS at, concat(p, 'us followed by ', time_us, 'us') AS detail FROM x WHERE time_us < p")
+@query(f"""WITH {v.V_TRACE}, t AS (SELECT seq AS pos, seq + seq // 97 - CASE WHEN seq % 211 = 210 THEN 2 ELSE 0 END AS seq, CASE WHEN seq % 101 = 100 THEN time_us - 1000000000000 ELSE time_us END AS time_us FROM v_trace),
+x AS (SELECT pos - 1 AS "at", lag(seq) OVER (ORDER BY pos) AS a, seq AS b, lag(time_us) OVER (ORDER BY pos) AS ta, time_us AS tb FROM t)
+SELECT 'trace_sequence' AS name, "at", concat(a, ' followed by ', b) AS detail FROM x WHERE b <> a + 1 UNION ALL SELECT 'trace_time_order', "at", concat(ta, 'us followed by ', tb, 'us') FROM x WHERE tb < ta""")
 def trace_invariants(s, d):
-    return trace.invariants(v.v_trace(s, d))
+    """Gaps, repeated numbers and steps back in time, planted in the order in which the events were read."""
+    seq = F.col("seq") + F.expr("seq div 97") - F.when(F.col("seq") % 211 == 210, 2).otherwise(0)
+    back = F.when(F.col("seq") % 101 == 100, F.col("time_us") - 1_000_000_000_000).otherwise(F.col("time_us"))
+    return trace.invariants(v.v_trace(s, d).select(F.col("seq").alias("pos"), seq.alias("seq"), back.alias("time_us")))
 
 
 @query(f"WITH {v.V_TRACE} SELECT seq, kind FROM v_trace WHERE node = 2 AND kind IN ('error', 'click') AND time_us >= 1704500000000000 AND time_us <= 1705900000000000 AND contains(payload, '1')")
@@ -405,9 +562,10 @@ def trace_missing_beacons(s, d):
     return trace.missing_beacons(v.v_trace(s, d))
 
 
-@query(f"WITH {v.V_TRACE} SELECT seq, CASE WHEN length(payload) > 6 THEN substring(payload, 1, 6) || '...' ELSE payload END AS shown FROM v_trace")
+@query(f"WITH {v.V_TRACE} SELECT seq, CASE WHEN seq % 3 = 0 THEN '0x' || lower(hex(encode(substring(chr(233) || payload, 1, 5)))) || CASE WHEN length(payload) > 4 THEN chr(8230) ELSE '' END ELSE substring(payload, 1, 6) || CASE WHEN length(payload) > 6 THEN chr(8230) ELSE '' END END AS shown FROM v_trace")
 def trace_payload_display(s, d):
-    return v.v_trace(s, d).select("seq", scalars.display_payload(F.encode("payload", "UTF-8"), 6).alias("shown"))
+    text = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("\u00e9"), F.col("payload"))).otherwise(F.col("payload"))
+    return v.v_trace(s, d).select("seq", scalars.display_payload(F.encode(text, "UTF-8"), 6).alias("shown"))
 
 
 @query(f"WITH {v.V_TRACE} SELECT seq, time_us, node, kind FROM v_trace WHERE node IN (SELECT DISTINCT node FROM v_trace ORDER BY node LIMIT 3) ORDER BY seq LIMIT 40")
@@ -415,6 +573,15 @@ def trace_diagram_rows(s, d):
     return trace.diagram_rows(v.v_trace(s, d), 3, 40)
 
 
+@query(f"WITH {v.V_TRACE}, e AS (SELECT event_id + 1 AS id, event_id AS ord, epoch_us(ts) AS invoke, CASE WHEN event_id % 5 <> 0 THEN epoch_us(ts) + 3600000000 END AS complete FROM events), b AS (SELECT min(invoke) AS a, coalesce(max(complete), min(invoke)) AS z FROM e WHERE id % 1000 IN (400, 401)) SELECT seq, kind FROM v_trace, b WHERE time_us BETWEEN a AND z AND kind IN ('signup', 'error')")
+def trace_witness_window(s, d):
+    """Telling events within the interval of some operations."""
+    t = v.v_trace(s, d)
+    ops = t.select((F.col("seq") + 1).alias("id"), F.col("seq").alias("ord"), F.col("time_us").alias("invoke"), F.when(F.col("seq") % 5 != 0, F.col("time_us") + 3_600_000_000).alias("complete"))
+    ids = ops.filter("id % 1000 IN (400, 401)").select("id")
+    return explain.window_events(t, explain.witnesses(ops, ids), "time_us", ("signup", "error")).select("seq", "kind")
+
+
 # ---- HX: histories
 
 
@@ -575,9 +742,9 @@ def rel_star_join(s, d):
     return rows.groupBy("n_name").agg(F.count("*").alias("orders"), F.sum(_cents("o_totalprice")).alias("cents"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def rel_anti_join(s, d):
-    return v.read(s, d, "customer").join(v.read(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return v.read(s, d, "customer").join(v.read(s, d, "orders").filter("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_discount > 0.05 AND l_quantity > 45)")
@@ -586,10 +753,31 @@ def rel_semi_join(s, d):
     return v.read(s, d, "supplier").join(li, F.col("s_suppkey") == F.col("l_suppkey"), "left_semi").select("s_suppkey")
 
 
-@query("SELECT c.c_custkey, s.s_suppkey FROM (SELECT * FROM customer WHERE c_custkey % 50 = 0) c FULL JOIN (SELECT * FROM supplier WHERE s_suppkey % 7 = 0) s ON c.c_custkey = s.s_suppkey")
+@query("SELECT c_custkey, s_suppkey, s_nationkey FROM customer FULL JOIN supplier ON c_custkey + 5 = s_suppkey")
 def rel_full_join(s, d):
-    c, p = v.read(s, d, "customer").filter("c_custkey % 50 = 0"), v.read(s, d, "supplier").filter("s_suppkey % 7 = 0")
-    return c.join(p, F.col("c_custkey") == F.col("s_suppkey"), "full").select("c_custkey", "s_suppkey")
+    c, p = v.read(s, d, "customer"), v.read(s, d, "supplier")
+    return c.join(p, F.col("c_custkey") + 5 == F.col("s_suppkey"), "full").select("c_custkey", "s_suppkey", "s_nationkey")
+
+
+@query("SELECT r_name, n_name FROM nation RIGHT JOIN region ON n_regionkey = r_regionkey AND n_nationkey < 12")
+def rel_right_join(s, d):
+    n = v.read(s, d, "nation").filter("n_nationkey < 12")
+    return n.join(v.read(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "right").select("r_name", "n_name")
+
+
+@query("SELECT o_orderkey, CAST(count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW) AS BIGINT) AS near FROM orders")
+def rel_range_frame(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rangeBetween(-1000, 0)
+    return v.read(s, d, "orders").select("o_orderkey", F.count("*").over(w).alias("near"))
+
+
+@query("SELECT o_custkey, len(list(DISTINCT o_orderstatus)) AS kinds, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY 1")
+def rel_map_functions(s, d):
+    per = v.read(s, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"))
+    held = per.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "n"))).alias("m"))
+    return held.select("o_custkey", F.size("m").cast("bigint").alias("kinds"), F.coalesce(F.try_element_at("m", F.lit("F")), F.lit(0)).cast("bigint").alias("f"))
 
 
 @query("SELECT a.n_name AS left_name, b.n_name AS right_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
@@ -695,19 +883,43 @@ def rel_sessionise(s, d):
     return relational.sessionise(e, "user_id", "t", 1_800_000_000)
 
 
-# ---- streaming, drained to a table
+# ---- streaming, drained to files: what the watermark, an hour behind the last event, has closed
 
+_MARK = "(SELECT max(epoch_us(ts)) - 3600000000 FROM events)"
 
-@query("SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+
+@query(f"SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING epoch_us(date_trunc('day', ts)) + 86400000000 <= {_MARK}")
 def stream_tumbling(s, d):
     return windows.drain(windows.tumbling(windows.source(s, d)))
 
 
-@query("SELECT epoch_us(date_trunc('day', ts) - INTERVAL (x) DAY) AS start_us, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS x) GROUP BY 1")
+@query(f"SELECT epoch_us(date_trunc('day', ts) - INTERVAL (x) DAY) AS start_us, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS x) GROUP BY 1 HAVING start_us + 172800000000 <= {_MARK}")
 def stream_sliding(s, d):
     return windows.drain(windows.sliding(windows.source(s, d)))
 
 
-@query("WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events), n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < 1800000000 THEN 0 ELSE 1 END AS f FROM e), g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY t) AS s FROM n) SELECT user_id, min(t) AS start_us, count(*) AS n FROM g GROUP BY user_id, s")
+@query(f"WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events), n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < 1800000000 THEN 0 ELSE 1 END AS f FROM e), g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY t) AS s FROM n) SELECT user_id, min(t) AS start_us, count(*) AS n FROM g GROUP BY user_id, s HAVING max(t) + 1800000000 <= {_MARK}")
 def stream_sessions(s, d):
     return windows.drain(windows.sessions(windows.source(s, d)))
+
+
+def _timed(s, d):
+    """The events as a stream of writes: a SET lives k hours, a DEL ends it."""
+    e = windows.source(s, d).withColumn("t_us", F.unix_micros("at")).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    op = F.when(F.col("event_type") == "signup", "SET").when(F.col("event_type") == "error", "DEL").otherwise("GET")
+    return e.select((F.col("event_id") + 1).alias("log_index"), F.concat(F.lit("k"), (F.col("user_id") % 500).cast("string")).alias("key"), op.alias("op"), (F.col("t_us") + F.col("k") * v.HOUR_US).alias("deadline_us"), "at")
+
+
+@query(f"""WITH {v.V_LOG}, w AS (SELECT *, row_number() OVER (PARTITION BY client % 500 ORDER BY log_index DESC) AS r FROM v_log WHERE op IN ('SET', 'DEL'))
+SELECT 'k' || CAST(client % 500 AS VARCHAR) AS key, log_index, t_us + k * {v.HOUR_US} AS deadline_us FROM w WHERE r = 1 AND op = 'SET' AND (t_us + k * {v.HOUR_US}) // 1000 <= {_MARK} // 1000""")
+def stream_expirations(s, d):
+    """Deadlines that pass by the log's own time, by timers; all events are one batch, so a key's last write decides."""
+    return windows.drain(stateful.expirations(_timed(s, d)))
+
+
+@query(f"WITH {v.V_LOG}, c AS (SELECT CAST(client % 2 AS INTEGER) AS namespace, client, max(t_us) * 1000 AS active FROM v_log GROUP BY client) SELECT namespace, client, 'idle' AS event, active + 1800000000000 AS at_ns FROM c WHERE (active + 1800000000000) // 1000000 <= (SELECT max(t_us) - 60000000 FROM v_log) // 1000")
+def stream_idle_sessions(s, d):
+    """Clients whose half hour without a request is over by the watermark."""
+    e = windows.source(s, d)
+    rows = e.select((F.col("user_id") % 2).cast("int").alias("namespace"), F.col("user_id").alias("client"), (F.col("event_id") + 1).alias("sequence"), (F.unix_micros("at") * 1000).alias("now_ns"), "at")
+    return windows.drain(stateful.idle_sessions(rows)).filter("event = 'idle'")
