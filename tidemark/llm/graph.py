@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import drop, table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,13 +18,15 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     both = table(both, "edges")
     roots = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
-    roots = table(roots, "roots")
+    roots = table(roots, "roots")  # later ones have the root before as well
     while True:
-        near = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        new = roots.join(near, "node").select("node", "root", F.least("root", "near").alias("next"))
+        near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        new = roots.select("node", "root").join(near, "node").select("node", "root", F.least("root", "near").alias("next"))
         far = roots.select(F.col("node").alias("next"), F.col("root").alias("far"))
         new = table(new.join(far, "next", "left").select("node", F.col("root").alias("old"), F.least("next", F.coalesce("far", "next")).alias("root")), "roots")
         changed = new.filter("root <> old").limit(1).count()
-        roots = new.select("node", "root")
+        drop(roots)
         if not changed:
-            return roots
+            drop(both)
+            return new.select("node", "root")
+        roots = new

@@ -4,26 +4,19 @@ from __future__ import annotations
 
 import contextlib
 import gc
-import tempfile
 import uuid
+import weakref
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shared_folder as scratch_root
+
 #: Words: runs of bytes that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-_own_root: list[str] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not _own_root:
-        _own_root.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
-    return _own_root[0]
+#: Where the result of each table() lies.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -36,11 +29,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
+    _paths[out] = path
     gc.collect()
     spark._jvm.System.gc()
     return out
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table() that no later step reads."""
+    discard(df.sparkSession, _paths.pop(df))
+
+
 def bucketed(df: DataFrame, name: str, n: int, column: str, by: str | None = None) -> tuple[DataFrame, str]:
     """(df, path) written in the shared folder in n buckets by column, in folders by the column by.
 
