@@ -102,3 +102,21 @@ def breaches(footprints: DataFrame, limits: dict[str, int]) -> DataFrame:
     long = footprints.unpivot("owner", list(limits), "measure", "peak").groupBy("owner", "measure").agg(F.sum("peak").alias("peak"))
     limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("measure")]
     return long.withColumn("most", limit).filter("peak > most")
+
+
+def claim_eligible(artifacts: DataFrame, allow_dev: bool = False) -> DataFrame:
+    """Artifacts that a claim may rest on: none that was made synthetically, and no development builds."""
+    return without_dev(artifacts.filter(~F.coalesce(F.col("synthetic"), F.lit(False))), allow_dev)
+
+
+def rates(runs: DataFrame, by: list[str], cpus: int = 1) -> DataFrame:
+    """(by, runs, bugs, milli_runs_s, milli_bugs_cpu_hour) of runs(verdict, elapsed_ns): whole thousandths, null for no time."""
+    per = runs.groupBy(*by).agg(F.count("*").alias("runs"), F.count_if(F.col("verdict") == "failed").alias("bugs"), F.sum("elapsed_ns").cast("bigint").alias("_ns"))
+    of = lambda n, scale: F.expr(f"cast(cast({n} as decimal(38,0)) * {scale} div nullif(_ns, 0) as bigint)")
+    return per.select(*by, "runs", "bugs", of("runs", 10**12).alias("milli_runs_s"), of("bugs", f"{3600 * 10**12}").alias("_b")).withColumn("milli_bugs_cpu_hour", F.expr(f"_b div {cpus}")).drop("_b")
+
+
+def logical_bytes(state: DataFrame, overhead: int = 0, most: int = 2**63 - 1) -> DataFrame:
+    """(rows, bytes) that a state(key, value) is charged: lengths of keys and values and an overhead each, up to most."""
+    size = F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0)) + overhead
+    return state.agg(F.count("*").alias("rows"), F.least(F.coalesce(F.sum(size.cast("decimal(38,0)")), F.lit(0)), F.lit(most)).cast("bigint").alias("bytes"))

@@ -496,6 +496,22 @@ def samples_residual(s, d):
     return m.withColumn("residual", F.col("modelled") - F.col("measured"))
 
 
+@query(f"WITH {v.V_LEDGER} SELECT profile, count(*) AS runs, count(*) FILTER (verdict = 'failed') AS bugs, CAST(count(*)::HUGEINT * 1000000000000 // sum(events * 1000000) AS BIGINT) AS milli_runs_s, CAST(CAST(count(*) FILTER (verdict = 'failed')::HUGEINT * 3600000000000000 // sum(events * 1000000) AS BIGINT) // 4 AS BIGINT) AS milli_bugs_cpu_hour FROM v_ledger GROUP BY profile")
+def ledger_rates(s, d):
+    return ledger.rates(v.v_ledger(s, d).withColumn("elapsed_ns", F.col("events") * 1_000_000), ["profile"], cpus=4)
+
+
+@query(f"WITH {v.V_LEDGER} SELECT profile, seed FROM v_ledger WHERE events % 3 <> 0 AND build_label <> '1-URGENT'")
+def ledger_claim_eligible(s, d):
+    rows = v.v_ledger(s, d).withColumn("synthetic", F.when(F.col("events") % 3 == 0, True)).withColumn("build_label", F.when(F.col("build_label") == "1-URGENT", "dev").otherwise(F.col("build_label")))
+    return ledger.claim_eligible(rows).select("profile", "seed")
+
+
+@query("SELECT count(*) AS rows, CAST(sum(strlen(p_name) + strlen(p_type) + 16) AS BIGINT) AS bytes FROM part")
+def kv_logical_bytes(s, d):
+    return ledger.logical_bytes(v.read(s, d, "part").select(F.col("p_name").alias("key"), F.col("p_type").alias("value")), 16)
+
+
 # ---- HX: traces
 
 
@@ -663,6 +679,58 @@ def history_session_violations(s, d):
     return history.session_violations(_quick_history(s, d)).select("client", "guarantee", F.col("operation_ids")[0].alias("first_id"), F.col("operation_ids")[1].alias("second_id"))
 
 
+_PROBED = """, rp AS (SELECT id, id AS ord, client % 3 AS replica, id // 40 AS committed_index, CASE WHEN id % 23 = 0 THEN 2 ELSE 1 END AS state_hash FROM h WHERE kind = 'GET')"""
+
+
+@query(f"WITH {_H}{_PROBED} SELECT a.id AS first_id, b.id AS second_id FROM rp a JOIN rp b ON a.committed_index = b.committed_index AND a.replica <> b.replica AND a.state_hash <> b.state_hash AND a.ord < b.ord")
+def history_replica_divergence(s, d):
+    i = F.col("id")
+    rows = _history(s, d).filter("kind = 'GET'").withColumn("probe", F.lit("replica")).withColumn("replica", F.col("client") % 3)
+    rows = rows.withColumn("committed_index", F.expr("id div 40")).withColumn("state_hash", F.when(i % 23 == 0, 2).otherwise(1).cast("bigint")).withColumn("ord", i)
+    return history.replica_divergence(rows).select(F.col("operation_ids")[0].alias("first_id"), F.col("operation_ids")[1].alias("second_id"))
+
+
+_CAS = """, c AS (SELECT id, key, invoke, complete, CAST(id % 11 AS VARCHAR) AS expected, CAST(id % 13 AS VARCHAR) AS value FROM h WHERE kind = 'INCR' AND complete IS NOT NULL)"""
+
+
+@query(f"WITH {_H}{_CAS} SELECT a.id AS first_id, b.id AS second_id, r.id AS read_id FROM c a JOIN c b ON a.key = b.key AND a.expected = b.expected AND a.id < b.id AND a.value <> b.value AND (a.complete < b.invoke OR b.complete < a.invoke) JOIN h r ON r.key = a.key AND r.probe = 'final' AND r.out_value IS NOT NULL AND greatest(a.complete, b.complete) < r.invoke AND r.out_value IN (a.value, b.value) WHERE a.id % 3 = 0")
+def history_lost_updates(s, d):
+    """Increments taken as compare-and-sets of planted values; those whose first write has an id divisible by three."""
+    h = _history(s, d)
+    i, is_cas = F.col("id"), (F.col("kind") == "INCR") & F.col("complete").isNotNull()
+    t = lambda c: c.cast("string")
+    rows = h.withColumn("expected", F.when(is_cas, t(i % 11))).withColumn("value", F.when(is_cas, t(i % 13)).otherwise(F.col("value"))).withColumn("kind", F.when(is_cas, "CAS").otherwise(F.col("kind")))
+    ids = F.col("operation_ids")
+    return history.lost_updates(rows).filter(ids[0] % 3 == 0).select(ids[0].alias("first_id"), ids[1].alias("second_id"), ids[2].alias("read_id"))
+
+
+@query(f"WITH {_H}, i AS (SELECT id, key || '-' || (id % 400) AS key, client, id // 2 AS sequence, complete, invoke FROM h WHERE kind = 'INCR' AND complete IS NOT NULL), p AS (SELECT id, key || '-' || (id % 400) AS key, invoke FROM h WHERE kind = 'GET' AND complete IS NOT NULL), j AS (SELECT p.key, p.id AS p, list_sort(list(i.id)) AS ids, count(*) AS n, count(DISTINCT (client % 2, sequence // 800)) AS d FROM i JOIN p ON i.key = p.key AND i.complete < p.invoke GROUP BY p.key, p.id) SELECT key, p, n FROM j WHERE d < n")
+def history_duplicate_applies(s, d):
+    """Increments whose requests repeat, on many keys, against final probes of a large value."""
+    h, i = _history(s, d), F.col("id")
+    key = F.concat_ws("-", "key", (i % 400).cast("string"))
+    incr = h.filter("kind = 'INCR' AND complete IS NOT NULL").withColumn("client", F.col("client") % 2).withColumn("sequence", F.expr("(id div 2) div 800"))
+    probes = h.filter("kind = 'GET' AND complete IS NOT NULL").withColumn("probe", F.lit("final")).withColumn("out_value", F.lit("1000000"))
+    found = history.duplicate_applies(incr.unionByName(probes).withColumn("key", key))
+    ids = F.col("operation_ids")
+    named = probes.select(i.alias("p"), key.alias("key"))
+    return found.select(F.element_at(ids, -1).alias("p"), (F.size(ids) - 1).cast("bigint").alias("n")).join(named, "p").select("key", "p", "n")
+
+
+@query(f"WITH {_H}, r AS (SELECT id, out_value FROM h WHERE kind = 'GET'), t AS (SELECT id, id + x AS ord, CASE WHEN id % 5 = 0 THEN 'z' ELSE out_value END AS value FROM r, (SELECT unnest([0, 1]) AS x) WHERE id % 7 <> 0) SELECT r.id, CASE WHEN t.id IS NULL THEN 'undecided' WHEN t.value IS NOT DISTINCT FROM r.out_value THEN 'ok' ELSE 'stale' END AS verdict FROM r LEFT JOIN (SELECT id, arg_min_null(value, ord) AS value FROM t GROUP BY id) t USING (id)")
+def history_stale_evidence(s, d):
+    reads = _history(s, d).filter("kind = 'GET'").select("id", "out_value")
+    seen = reads.filter("id % 7 <> 0").withColumn("ord", F.explode(F.array(F.col("id"), F.col("id") + 1)))
+    return history.stale_read_evidence(reads, seen.select("id", "ord", F.when(F.col("id") % 5 == 0, "z").otherwise(F.col("out_value")).alias("value")))
+
+
+@query("SELECT o_orderkey AS run_id, NOT o_custkey % 2 = 0 OR (o_custkey % 3 = 0 AND o_custkey % 5 <> 0) AS live FROM orders")
+def history_liveness(s, d):
+    k = F.col("o_custkey")
+    runs = v.read(s, d, "orders").select(F.col("o_orderkey").alias("run_id"), (k % 2 == 0).alias("survivable"), (k % 3 == 0).alias("leader_seen"), (k % 5 != 0).alias("probe_committed"))
+    return history.liveness(runs)
+
+
 @query()
 def history_linearizability(s, d):
     """A verdict for each key over its whole history."""
