@@ -67,8 +67,8 @@ def encode(docs: DataFrame, model: str, carry: tuple[str, ...] = (), digests: bo
     """Rows (doc_id, *carry, ids): ids as the tokenizers library gives them without added special tokens.
 
     ids is binary, little-endian unsigned 32-bit; digests gives what decode(..., digests=True) makes of them instead, in
-    the same pass. Special tokens inside a text are taken as such, the library's default. A null or empty text has no ids.
-    Repeated rows give repeated results; an empty table gives an empty result; other columns are ignored unless in carry.
+    the same pass. Special tokens inside a text are taken as such, the library's default. A null or empty text has no ids;
+    a very long one is a block of its own, encoded whole. Repeated rows give repeated results; an empty table gives an empty result; other columns are ignored unless in carry.
     A vocabulary whose words depend on white space raises ValueError.
     """
     if not splits_at_white_space(model):

@@ -74,7 +74,8 @@ def counter(model: str) -> Counter:
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """Rows (doc_id, n_bytes, n_tokens, over_limit), one a row of docs, without begin and end tokens.
 
-    A null text is empty: 0 bytes, 0 tokens. Special strings inside a text are ordinary text, as the library has it.
+    A null text is empty: 0 bytes, 0 tokens. Special strings inside a text are ordinary text, as the library has it. A very
+    long text is cut where no piece reaches across and counted whole.
     Repeated rows give repeated results, an empty table none; other columns are ignored. model is a path that every
     executor can open.
     """
