@@ -1,7 +1,8 @@
 """Media columns: telephony audio. Bytes are stored as mu-law, A-law or IMA ADPCM in WAVE files and decoded with numpy.
 
 mu-law and A-law expand through lookup tables. ADPCM blocks are independent, so one loop over the samples of a block
-decodes all blocks of a batch side by side. PCM is resampled from 8 to 16 kHz by an integer half-band filter.
+decodes all blocks of a batch side by side. PCM is resampled from 8 to 16 kHz by an integer half-band filter and stored
+beside the file.
 """
 
 from __future__ import annotations
@@ -16,7 +17,13 @@ from pyspark.sql import DataFrame
 from .shared import byte_batches, scratch_root, text_of
 
 RATE, UNIT = 8000, 192
+#: The rate that PCM is stored at.
+PCM_RATE = 16000
 BATCH_BYTES = 1 << 20
+#: How the stored table is compressed: telephony has few values, whose patterns long pages find again.
+PARQUET = {"compression": "zstd", "parquet.compression.codec.zstd.level": "12", "parquet.page.size": str(8 << 20)}
+#: Flags of stored PCM: its even samples are differences; odd samples aren't all as the half-band filter has them.
+DIFFERENCES, CORRECTED = 1, 2
 #: WAVE format tags.
 MULAW, ALAW, ADPCM = 7, 6, 17
 NAMES = {MULAW: "mulaw", ALAW: "alaw", ADPCM: "ima-adpcm"}
@@ -131,8 +138,8 @@ def features(pcm: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, i
     return [(int(a), int(b), int(100 * np.sqrt(c / a)), int(d)) for a, b, c, d in zip(n, peak, power, turns, strict=True)]
 
 
-def decode(media: list[bytes]) -> list[tuple[int, bytes, bytes, tuple[int, int, int, int]]]:
-    """(format tag, stored payload, 16 kHz PCM, features) of each file; files of one format are decoded together."""
+def decode(media: list[bytes]) -> list[tuple[int, bytes, bytes]]:
+    """(format tag, stored payload, 16 kHz PCM) of each file; files of one format are decoded together."""
     files = [read_wave(m) for m in media]
     out: list = [None] * len(files)
     for tag in NAMES:
@@ -142,18 +149,54 @@ def decode(media: list[bytes]) -> list[tuple[int, bytes, bytes, tuple[int, int,
         data = np.concatenate([files[i][1] for i in own])
         pcm = decode_adpcm(data).ravel() if tag == ADPCM else EXPAND[tag][data]
         each = 2 * UNIT + 1 if tag == ADPCM else 1
-        starts = np.cumsum([0, *[len(files[i][1]) * each for i in own]])[:-1]
-        pcm = resample(pcm, starts)
-        found = features(pcm, 2 * starts)
-        for i, at, f in zip(own, 2 * starts, found, strict=True):
-            out[i] = (tag, payload_of(*files[i]), pcm[at : at + f[0]].tobytes(), f)
+        ends = np.cumsum([0, *[len(files[i][1]) * each for i in own]])
+        pcm = resample(pcm, ends[:-1])
+        for i, a, b in zip(own, (2 * ends[:-1]).tolist(), (2 * ends[1:]).tolist(), strict=True):
+            out[i] = (tag, payload_of(*files[i]), pcm[a:b].tobytes())
+    return out
+
+
+def pack_pcm(signals: list[np.ndarray], smooth: list[bool]) -> list[bytes]:
+    """Each signal of an even number of int16 samples in a lossless code by phases.
+
+    The even samples, as differences where the signal is smooth; the odd ones as corrections to what the half-band filter
+    makes of the even ones, which are left out where there are none, as in signals that were resampled by it.
+    """
+    starts = np.cumsum([0, *(len(x) // 2 for x in signals[:-1])])
+    x = np.concatenate(signals)
+    even, rest = x[0::2], x[1::2] - resample(x[0::2], starts)[1::2]
+    steps = np.diff(even, prepend=np.int16(0))
+    steps[starts] = even[starts]
+    ends, out = [*starts[1:].tolist(), len(even)], []
+    for a, b, is_smooth in zip(starts.tolist(), ends, smooth, strict=True):
+        more = rest[a:b].astype("<i2").tobytes() if rest[a:b].any() else b""
+        out.append(bytes([DIFFERENCES * is_smooth + CORRECTED * bool(more)]) + (steps if is_smooth else even)[a:b].astype("<i2").tobytes() + more)
+    return out
+
+
+def unpack_pcm(packed: list[bytes]) -> list[np.ndarray]:
+    """The signals that pack_pcm made codes of."""
+    even, rest = [], []
+    for data in packed:
+        x = np.frombuffer(data, "<i2", offset=1)
+        n = len(x) // 2 if data[0] & CORRECTED else len(x)
+        even.append(np.cumsum(x[:n], dtype=np.int16) if data[0] & DIFFERENCES else x[:n])
+        rest.append(x[n:])
+    ends = np.cumsum([0, *map(len, even)])
+    pcm, out = resample(np.concatenate(even), ends[:-1]), []
+    for a, b, r in zip(ends[:-1].tolist(), ends[1:].tolist(), rest, strict=True):
+        if len(r):
+            pcm[2 * a + 1 : 2 * b : 2] += r
+        out.append(pcm[2 * a : 2 * b])
     return out
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_bytes, media): every text (null: empty) as UTF-8, padded with spaces to a multiple of UNIT, in a WAVE file.
+    """Rows (doc_id, n_bytes, media, pcm): every text (null: empty) as UTF-8, padded with spaces to a multiple of UNIT, in a
+    WAVE file, and what that decodes to, resampled to PCM_RATE, as pack_pcm codes it.
 
-    The format follows from a checksum of the bytes, so equal texts give equal files.
+    The format follows from a checksum of the bytes, so equal texts give equal files. A very long text is a batch of its
+    own and one file.
     """
 
     def run(batches):
@@ -166,14 +209,16 @@ def store(docs: DataFrame) -> DataFrame:
                 payload = raw + b" " * (-len(raw) % UNIT if raw else UNIT)
                 sizes.append(len(raw))
                 media.append(write_wave(payload, (MULAW, ALAW, ADPCM)[zlib.crc32(payload) % 3]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+            decoded = decode(media)
+            pcm = pack_pcm([np.frombuffer(x, "<i2") for *_, x in decoded], [tag == ADPCM for tag, *_ in decoded])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(pcm, pa.binary())], ["doc_id", "n_bytes", "media", "pcm"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary, pcm binary")
 
 
-def digest(stored: DataFrame, with_pcm: bool = False) -> DataFrame:
-    """What the stored files hold: payload and file digests and features of the resampled signal; with_pcm adds the PCM."""
+def digest(stored: DataFrame) -> DataFrame:
+    """What the stored rows hold: payload and file digests of the media, features of the PCM."""
 
     def run(batches):
         import pyarrow as pa
@@ -181,32 +226,34 @@ def digest(stored: DataFrame, with_pcm: bool = False) -> DataFrame:
 
         for batch in byte_batches(batches, lambda b: pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False), BATCH_BYTES):
             media = batch.column(2).to_pylist()
-            rows = decode(media)
+            files = [read_wave(m) for m in media]
+            payloads = [payload_of(*f) for f in files]
+            pcm = unpack_pcm(batch.column(3).to_pylist())
+            found = features(np.concatenate(pcm), np.cumsum([0, *map(len, pcm[:-1])]))
             sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs])
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            arrays = [batch.column(0), batch.column(1), pa.array([len(r[1]) for r in rows], pa.int64()), sha(r[1] for r in rows), pa.array([zlib.crc32(r[1][-16:]) for r in rows], pa.int64()), pa.array([len(m) for m in media], pa.int64()), sha(media), pa.array([f"{NAMES[r[0]]};n={r[3][0]};peak={r[3][1]};rms={r[3][2]};turns={r[3][3]}" for r in rows])]
-            if with_pcm:
-                names, arrays = [*names, "pcm"], [*arrays, pa.array([r[2] for r in rows], pa.binary())]
+            shown = [f"{NAMES[f[0]]};n={x[0]};peak={x[1]};rms={x[2]};turns={x[3]}" for f, x in zip(files, found, strict=True)]
+            arrays = [batch.column(0), batch.column(1), pa.array([len(p) for p in payloads], pa.int64()), sha(payloads), pa.array([zlib.crc32(p[-16:]) for p in payloads], pa.int64()), pa.array([len(m) for m in media], pa.int64()), sha(media), pa.array(shown)]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     kind = stored.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema + (", pcm binary" if with_pcm else ""))
+    return stored.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(run, schema)
 
 
-def audio_digests(docs: DataFrame, path: str | None = None, with_pcm: bool = False) -> DataFrame:
-    """Store every text as audio in a Parquet table (at path, else in the shared folder), read it back and digest it.
+def audio_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Store every text as audio and its PCM in a Parquet table (at path, else in the shared folder), read both back and digest them.
 
-    One row a row of docs. Null and empty texts are a file of UNIT spaces; repeated rows give equal rows; an empty table
-    gives an empty result; other columns are ignored.
+    One row a row of docs. Null and empty texts are a file of UNIT spaces; a very long text is one file; repeated rows give
+    equal rows; an empty table gives an empty result; other columns are ignored.
     """
     import uuid
 
     spark = docs.sparkSession
     path = path or f"{scratch_root(spark)}/tidemark/{uuid.uuid4().hex}-audio"
     made = store(docs)
-    made.write.option("compression", "zstd").parquet(path)
-    return digest(spark.read.schema(made.schema).parquet(path), with_pcm)
+    made.write.options(**PARQUET).parquet(path)
+    return digest(spark.read.schema(made.schema).parquet(path))
 
 
 __all__ = ["audio_digests", "decode", "digest", "read_wave", "store", "write_wave"]
