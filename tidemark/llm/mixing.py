@@ -10,17 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, table
+from .shared import WORD, prefix_sums, table
 
 #: Rows of one (source, range) group that the number of ranges is chosen for.
 ROWS_A_RANGE = 20_000
 
 
 def _ranges(rows: int) -> int:
-    bits = 6
-    while (rows >> bits) > ROWS_A_RANGE and bits < 20:
-        bits += 1
-    return bits
+    return max(6, (rows // ROWS_A_RANGE).bit_length())
 
 
 def _unsigned(key):
@@ -36,18 +33,18 @@ def source_targets(sizes: DataFrame, share: float, weights: tuple[int, ...], mos
     """sizes(src, source, source_size) with a target for each: share of the sum by weight, at most most_epochs of a source.
 
     Weights go round the sources in code-point order, null last. What a cap cuts off is shared again by weight; the
-    final level is the largest of the levels met when sources are capped in order of size by weight. One row a source:
-    the windows here run over the list of sources, not over documents.
+    final level is the largest of the levels met when sources are capped in order of size by weight. One row a source, of
+    which there may be very many.
     """
-    everything = Window.partitionBy()
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("_rank") % len(weights) + 1)
-    ranked = sizes.withColumn("_rank", (F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())) - 1).cast("int"))
-    ranked = ranked.withColumn("weight", weight).withColumn("_cap", most_epochs * F.col("source_size"))
-    order = everything.orderBy((F.col("_cap") / F.col("weight")).asc(), "_rank").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.lit(float(share)) * F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(order), F.lit(0.0))
-    heavy = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(order), F.lit(0.0))
-    level = F.max("_level").over(everything)
-    return ranked.withColumn("_level", left / heavy).withColumn("target", F.least(level * F.col("weight"), F.col("_cap"))).drop("_rank", "_cap", "_level")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
+    ranked = prefix_sums(sizes.withColumn("_one", F.lit(1)), [F.col("source").asc_nulls_last()], {"_rank": "_one"})
+    ranked = ranked.withColumn("weight", weight).withColumn("_cap", most_epochs * F.col("source_size")).withColumn("_order", F.col("_cap") / F.col("weight"))
+    capped = prefix_sums(ranked, ["_order", "_rank"], {"_cap_before": "_cap", "_weight_before": "weight"})
+    whole = sizes.agg(F.sum("source_size").alias("_sum")).join(ranked.agg(F.sum("weight").alias("_heavy")), F.lit(True))
+    left, heavy = F.lit(float(share)) * F.col("_sum") - F.col("_cap_before"), F.col("_heavy") - F.col("_weight_before")
+    level = capped.join(F.broadcast(whole), F.lit(True)).agg(F.max(left / heavy).alias("_level"))  # one row each
+    out = ranked.join(F.broadcast(level), F.lit(True)).withColumn("target", F.least(F.col("_level") * F.col("weight"), F.col("_cap")))
+    return out.drop("_one", "_rank", "_cap", "_order", "_level")
 
 
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), most_epochs: float = 2.0, seed: int = 17) -> DataFrame:
@@ -63,7 +60,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("_key"))
     rows = table(rows.withColumn("src", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("v"), "source"))), "mix-keys")
     bits = _ranges(rows.count())
-    rows = rows.withColumn("_range", F.shiftrightunsigned(F.col("_key"), 64 - bits).cast("int"))
+    rows = rows.withColumn("_range", F.shiftrightunsigned(F.col("_key"), 64 - bits))
 
     sums = rows.groupBy("src", "_range").agg(F.first("source").alias("source"), F.sum("size").alias("_sum"))
     before = F.sum("_sum").over(Window.partitionBy("src").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))

@@ -8,7 +8,7 @@ import uuid
 import weakref
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scratch import shared_folder as scratch_root
@@ -19,10 +19,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, release_shuffles: bool = True) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends at files that outlive executors.
 
-    The shuffle files of the finished job are released, so that a chain of steps holds one step's files at a time.
+    Spark keeps a finished job's shuffle files until its driver collects garbage, which a driver with little to do hardly
+    does; it is asked to here, so that a chain of steps holds one step's files at a time. Steps that move little needn't.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tidemark/{uuid.uuid4().hex}-{name}"
@@ -30,8 +31,9 @@ def table(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     _paths[out] = path
-    gc.collect()
-    spark._jvm.System.gc()
+    if release_shuffles:
+        gc.collect()
+        spark._jvm.System.gc()
     return out
 
 
@@ -40,6 +42,19 @@ def drop(df: DataFrame) -> None:
     discard(df.sparkSession, _paths.pop(df))
 
 
+def prefix_sums(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
+    """df with a column for each of sums {name: column}: the sum of column over the rows before, in that order.
+
+    Rows go to tasks by ranges of the order; the one window over everything has a row a task.
+    """
+    dealt = table(df.repartitionByRange(*order).withColumn("_task", F.spark_partition_id()), "ranges", release_shuffles=False)
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_task").agg(*[F.sum(c).alias(f"_all_{n}") for n, c in sums.items()])
+    starts = totals.select("_task", *[F.coalesce(F.sum(f"_all_{n}").over(before.orderBy("_task")), F.lit(0)).alias(f"_from_{n}") for n in sums])
+    own = [(F.coalesce(F.sum(c).over(before.partitionBy("_task").orderBy(*order)), F.lit(0)) + F.col(f"_from_{n}")).alias(n) for n, c in sums.items()]
+    return dealt.join(F.broadcast(starts), "_task").select(*[c for c in df.columns], *own)  # as many as shuffle partitions
+
+
 def bucketed(df: DataFrame, name: str, n: int, column: str, by: str | None = None) -> tuple[DataFrame, str]:
     """(df, path) written in the shared folder in n buckets by column, in folders by the column by.
 
@@ -106,19 +121,32 @@ def released(f):
 
 
 def byte_batches(batches, size_of, most_bytes: int, most_rows: int = 4096):
-    """Regroup Arrow batches: slices of at most most_rows rows and about most_bytes by size_of(batch) (a numpy array)."""
+    """Arrow batches dealt anew: at most most_rows rows and about most_bytes by size_of(batch) (a numpy array) each.
+
+    Rows of several batches come together where they are small, so a batch's size doesn't depend on the session's limits.
+    """
+    import pyarrow as pa
+
+    held, total, rows = [], 0, 0
+
+    def whole():
+        return held[0] if len(held) == 1 else pa.concat_batches(held)
+
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
         sizes = np.asarray(size_of(batch), dtype=np.int64)
-        start = total = 0
-        for i, n in enumerate(sizes):
-            if i > start and (total + n > most_bytes or i - start >= most_rows):
-                yield batch.slice(start, i - start)
+        start = 0
+        for i, n in enumerate(sizes.tolist()):
+            if rows and (total + n > most_bytes or rows >= most_rows):
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                yield whole()
                 release()
-                start, total = i, 0
-            total += int(n)
-        yield batch.slice(start, batch.num_rows - start)
+                held, total, rows, start = [], 0, 0, i
+            total, rows = total + n, rows + 1
+        if batch.num_rows > start:
+            held.append(batch.slice(start))
+    if held:
+        yield whole()
         release()
 
 
