@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_batches, discard, from_planes, mix64, pack, planes, ragged, released, scratch_root, seeded_words, table, text_bytes, text_of, text_runs, unpack
+from .shared import byte_batches, discard, drop, from_planes, mix64, pack, planes, ragged, released, scratch_root, seeded_words, table, text_bytes, text_of, text_runs, unpack
 from .shingles import _powers
 
 LEAST, GRAM = 50, 20
@@ -253,9 +253,11 @@ def _scan(lcp: list[int], least: list[int], first: int) -> list[tuple[int, int,
     return out
 
 
-def maximal_repeats(group, left, right, body, least_doc):
+def maximal_repeats(group, left, right, body, least_doc, lead=None):
     """Maximal repeats of at least LEAST bytes among fragments of equal groups (anchors), with all their occurrences.
 
+    With lead (_leads) a repeat doesn't go on to the left where its first window would name another anchor.
+
     Yields (start, members, sizes, lengths, smallest): repeats that begin start bytes before the anchor; members holds
     their fragments end to end, sizes how many each has, lengths their bytes, smallest their smallest document.
     """
@@ -281,6 +283,8 @@ def maximal_repeats(group, left, right, body, least_doc):
         if start < REACH:
             before = np.where(left > start, body[:, REACH - start - 1].astype(np.int64), -1)[sa]
             turns = (before[1:] != before[:-1]) | (before[1:] < 0)
+            if lead is not None:
+                turns |= ~lead[sa[1:], start + 1]
         else:
             turns = np.ones(len(sa) - 1, bool)
         turned = np.append(0, np.cumsum(turns))
@@ -306,36 +310,127 @@ def maximal_repeats(group, left, right, body, least_doc):
         yield start, sa[ragged(sizes, found[:, 1])], sizes, found[:, 0], found[:, 3]
 
 
+class Bucket:
+    """A bucket's fragments: those of the blocks (own, block, with kind as their place among the distinct ones), and the
+    distinct ones (first, with small and large as their documents' ends, group as their anchor)."""
+
+    def __init__(self, rows):
+        held = [pickle.loads(unpack(a)) for a in rows["a"]]
+        self.block = np.repeat(np.arange(len(held)), [len(x[1]) for x in held])
+        self.own, left, right, body = np.concatenate([from_planes(x[0]) for x in held]), *(np.concatenate([x[i] for x in held]) for i in (1, 2, 5))
+        least, more = (np.concatenate([_from_longs(x[i]) for x in held]) for i in (3, 4))
+        self.most = least + more
+        del held[:], more
+        prints = _prints(body, left, right)
+        # equal fragments of different blocks are one, held from its smallest document on
+        order = np.lexsort((prints[1], prints[0]))
+        new = np.append(True, (np.diff(prints[0][order]) != 0) | (np.diff(prints[1][order]) != 0))
+        self.kind = np.empty(len(order), np.int64)
+        self.kind[order] = np.cumsum(new) - 1
+        first, starts = order[new], np.flatnonzero(new)
+        self.small, self.large = np.minimum.reduceat(least[order], starts), np.maximum.reduceat(self.most[order], starts)
+        _, self.group = np.unique(_anchor_hash(body[first]), return_inverse=True)
+        self.left, self.right, self.body = left[first].astype(np.int64), right[first].astype(np.int64), body[first]
+        self.several = np.flatnonzero((np.bincount(self.group) > 1)[self.group])
+
+    def repeats(self, lead=None):
+        """maximal_repeats of the distinct fragments that share their anchor with another one."""
+        at = self.several
+        if len(at):
+            for start, members, sizes, lengths, smallest in maximal_repeats(self.group[at], self.left[at], self.right[at], self.body[at], self.small[at], None if lead is None else lead[at]):
+                yield start, at[members], sizes, lengths, smallest
+
+
+def _leads(body: np.ndarray) -> np.ndarray:
+    """For each fragment and start: whether the window that begins start bytes before the anchor names that anchor."""
+    out = np.empty((len(body), REACH + 1), dtype=bool)
+    up = _powers(1 << 19)[0][:GRAM]
+    for a in range(0, len(body), 1 << 12):
+        cut, value = slice(a, a + (1 << 12)), _BYTES[body[a : a + (1 << 12)]]
+        h = np.zeros((len(value), SPAN - GRAM + 1), dtype=np.uint64)
+        for i in range(GRAM):
+            h += value[:, i : i + h.shape[1]] * up[i]
+        h = mix64(h) & ~np.uint64(0xFFFFFF)
+        for start in range(REACH + 1):
+            out[cut, start] = h[:, REACH - start : 2 * REACH - start + 1].argmin(1) == start
+    return out
+
+
+def _groups(rows):
+    """For a bucket: the maximal repeats of each block's fragments, each named by a hash of its bytes.
+
+    Only those whose first window names the bucket's anchor: all their occurrences are here.
+    """
+    found = Bucket(rows)
+    lead = _leads(found.body)
+    # no other context: from the first window that names the anchor on
+    may = lead & (np.arange(REACH + 1)[None, :] <= found.left[:, None]) & (np.arange(REACH + 1)[None, :] + found.right[:, None] >= LEAST)
+    first = REACH - may[:, ::-1].argmax(1)
+    alone = np.flatnonzero(may.any(1) & ~np.isin(np.arange(len(may)), found.several))
+    parts = [(alone, first[alone], first[alone] + found.right[alone])]
+    for start, members, sizes, lengths, _ in found.repeats(lead):
+        parts.append((members, np.full(len(members), start), np.repeat(lengths, sizes)))
+    fragment, start, length = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    own = lead[fragment, start]
+    fragment, start, length = fragment[own], start[own], length[own]
+    place = np.arange(SPAN)[None, :]
+    names = np.empty(len(fragment), np.uint64)
+    for a in range(0, len(fragment), 1 << 13):
+        cut = slice(a, a + (1 << 13))
+        begin = (REACH - start[cut])[:, None]
+        inside = (place >= begin) & (place < begin + length[cut][:, None])
+        shifted = np.where(inside, _COLUMNS[0][np.where(inside, place - begin, 0)], np.uint64(0))
+        names[cut] = mix64((_BYTES[found.body[fragment[cut]]] * shifted).sum(1, dtype=np.uint64) + length[cut].astype(np.uint64))
+    order = np.argsort(fragment, kind="stable")
+    n = np.bincount(fragment, minlength=len(may))
+    take = order[ragged(n[found.kind], (np.cumsum(n) - n)[found.kind])]
+    source = np.repeat(np.arange(len(found.kind)), n[found.kind])
+    out = []
+    for i, name in enumerate(rows["block"]):
+        mine = found.block[source] == i
+        if mine.any():
+            t = take[mine]
+            out.append((name, int(rows["part"].iloc[0]), pack(pickle.dumps((found.own[source[mine]], start[t].astype(np.uint8), length[t].astype(np.uint8), names[t].astype(np.int64)))), None, "group"))
+    return _frame(out)
+
+
+def _occurrences(rows):
+    """For a block: a row for each place at which a repeat of its fragments occurs."""
+    import pandas as pd
+
+    kinds = dict(iter(rows.groupby("kind")))
+    out: dict[str, list] = {"repeat": [], "length": [], "doc_id": [], "at": []}
+    if "group" in kinds and "place" in kinds:
+        off, ipc = pickle.loads(unpack(kinds["text"].iloc[0]["b"]))
+        ids, place = _ids(ipc), kinds["place"].iloc[0]
+        at, fragment = from_planes(place["a"]).astype(np.int64), from_planes(place["b"]).astype(np.int64)
+        order, n = np.argsort(fragment, kind="stable"), np.bincount(fragment)
+        for packed in kinds["group"]["a"]:
+            own, start, length, name = pickle.loads(unpack(packed))
+            own = own.astype(np.int64)
+            where, times = order[ragged(n[own], (np.cumsum(n) - n)[own])], n[own]
+            doc = np.searchsorted(off, at[where], side="right") - 1
+            for c, x in zip(out, (np.repeat(name, times), np.repeat(length, times), ids[doc], at[where] - np.repeat(start.astype(np.int64), times) - off[doc]), strict=True):
+                out[c].append(x.astype(np.int64))
+    frame = pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0, np.int64) for c, x in out.items()})
+    frame["doc_id"] = frame["doc_id"].astype("Int64").mask(frame["doc_id"] == NULL_ID)
+    return frame.drop_duplicates()
+
+
 def _solve(rows):
     """For a bucket: the repeats of its fragments, sent back to the blocks that hold larger documents."""
-    held = [pickle.loads(unpack(a)) for a in rows["a"]]
-    block = np.repeat(np.arange(len(held)), [len(x[1]) for x in held])
-    own, left, right, body = np.concatenate([from_planes(x[0]) for x in held]), *(np.concatenate([x[i] for x in held]) for i in (1, 2, 5))
-    least, more = (np.concatenate([_from_longs(x[i]) for x in held]) for i in (3, 4))
-    most = least + more
-    del held[:], more
-    prints = _prints(body, left, right)
-    # equal fragments of different blocks are one, held from its smallest document on
-    order = np.lexsort((prints[1], prints[0]))
-    new = np.append(True, (np.diff(prints[0][order]) != 0) | (np.diff(prints[1][order]) != 0))
-    kind = np.empty(len(order), np.int64)
-    kind[order] = np.cumsum(new) - 1
-    first, starts = order[new], np.flatnonzero(new)
-    small, large = np.minimum.reduceat(least[order], starts), np.maximum.reduceat(most[order], starts)
-    _, group = np.unique(_anchor_hash(body[first]), return_inverse=True)
-    wide_left, wide_right, shown = left[first].astype(np.int64), right[first].astype(np.int64), body[first]
+    bucket = Bucket(rows)
+    block, own, most, kind, small, large = bucket.block, bucket.own, bucket.most, bucket.kind, bucket.small, bucket.large
+    wide_left, wide_right = bucket.left, bucket.right
     whole = np.flatnonzero((small < large) & (wide_left + wide_right >= LEAST))
     pieces = [np.stack([whole, wide_left[whole], (wide_left + wide_right)[whole], small[whole]], axis=1)]
-    alone = np.bincount(group) < 2
-    several = np.flatnonzero(~alone[group])
-    if len(several):
-        for start, members, sizes, lengths, smallest in maximal_repeats(group[several], wide_left[several], wide_right[several], shown[several], small[several]):
-            members, smallest = several[members], np.repeat(smallest, sizes)
-            hit = smallest < large[members]
-            pieces.append(np.stack([members[hit], np.full(int(hit.sum()), start), np.repeat(lengths, sizes)[hit], smallest[hit]], axis=1))
+    for start, members, sizes, lengths, smallest in bucket.repeats():
+        smallest = np.repeat(smallest, sizes)
+        hit = smallest < large[members]
+        pieces.append(np.stack([members[hit], np.full(int(hit.sum()), start), np.repeat(lengths, sizes)[hit], smallest[hit]], axis=1))
     found = np.concatenate(pieces)
     found = found[np.argsort(found[:, 0], kind="stable")]
-    n = np.bincount(found[:, 0], minlength=len(first))
+    n = np.bincount(found[:, 0], minlength=len(small))
     begin = np.cumsum(n) - n
     take = ragged(n[kind], begin[kind])
     source = np.repeat(np.arange(len(kind)), n[kind])
@@ -401,22 +496,15 @@ def _cut(digests: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), digests: bool = False) -> DataFrame:
-    """Rows (doc_id, *carry, text): docs without the bytes that a string of LEAST bytes of a smaller document covers.
+def _solved(rows: DataFrame, solve) -> DataFrame | None:
+    """Rows (SCHEMA) of each block of rows(_id, ..., text): its text, the places of its fragments, and what solve found.
 
-    Strings are judged on the input, overlaps count, matches never cross documents; what is cut inside a character takes
-    the rest of it along in text. digests gives (n_bytes, n_removed, n_spans, kept_sha256) of the bytes instead. A null
-    text is empty, a null doc_id smaller than any other; rows with equal doc_id don't cut one another. An empty table
-    gives an empty result; other columns are ignored unless in carry.
+    None for a table without rows.
     """
-    spark = docs.sparkSession
-    inside = [f"_c{i}" for i in range(len(carry))]
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("doc_id"), *[F.col(f"`{c}`").alias(i) for c, i in zip(carry, inside, strict=True)], text_of().alias("text"))
-    more = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" if digests else "text string"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("_id", "text")), more])
+    spark = rows.sparkSession
     total = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0]
     if total is None:
-        return spark.createDataFrame([], schema)
+        return None
     buckets = max(LEAST_BUCKETS, total // BUCKET_BYTES)
     where = f"{scratch_root(spark)}/tidemark/{uuid.uuid4().hex}-repeats"
     rows.mapInArrow(_blocks(buckets), SCHEMA).write.partitionBy("kind").parquet(where)
@@ -425,11 +513,50 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), digests: bool =
     discard(spark, f"{where}/kind=key")
     found = f"{where}-fragments"
     read("text").unionByName(bits).groupBy("block").applyInPandas(released(_fragments(buckets)), SCHEMA).write.partitionBy("kind").parquet(found)
+    drop(bits)
     pieces = lambda kind: spark.read.schema(SCHEMA).parquet(found).filter(F.col("kind") == kind)
-    repeats = table(pieces("fragment").groupBy("part").applyInPandas(released(_solve), SCHEMA), "repeat-groups")
+    repeats = table(pieces("fragment").groupBy("part").applyInPandas(released(solve), SCHEMA), "repeat-groups")
     discard(spark, f"{found}/kind=fragment")
-    out = read("text").unionByName(pieces("place")).unionByName(repeats).groupBy("block").applyInPandas(released(_cut(digests)), schema)
-    return out.select("doc_id", *[F.col(i).alias(c) for i, c in zip(inside, carry, strict=True)], *out.columns[1 + len(inside) :])
+    return read("text").unionByName(pieces("place")).unionByName(repeats)
+
+
+def repeat_groups(docs: DataFrame) -> DataFrame:
+    """Rows (repeat, length, doc_id, at): the maximal repeats of LEAST bytes and more, each with all its occurrences.
+
+    repeat names the bytes, at is the first one's place in the document's UTF-8. A repeat is told within SPAN bytes around
+    an anchor: a longer one is a chain of overlapping repeats, whose union it is. An anchor that only one document has is
+    left out, as are repeats that another one extends to the left at all its occurrences. Null texts and ids, repeated rows and empty tables
+    as in remove_repeats.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text_of().alias("text"))
+    schema = "repeat bigint, length bigint, doc_id bigint, at bigint"
+    parts = _solved(rows, _groups)
+    if parts is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    return parts.groupBy("block").applyInPandas(released(_occurrences), schema).distinct()
+
+
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), digests: bool = False) -> DataFrame:
+    """Rows (doc_id, *carry, text): docs without the bytes that a string of LEAST bytes of a smaller document covers.
+
+    Strings are judged on the input, overlaps count, matches never cross documents; what is cut inside a character takes
+    the rest of it along in text. digests gives (n_bytes, n_removed, n_spans, kept_sha256) of the bytes instead. A null
+    text is empty, a null doc_id smaller than any other (as -2^63, which no other document may have); a very long text is a
+    block of its own; rows with equal doc_id don't cut one another. An empty table
+    gives an empty result; other columns are ignored unless in carry.
+    """
+    spark = docs.sparkSession
+    inside = [f"_c{i}" for i in range(len(carry))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("doc_id"), *[F.col(f"`{c}`").alias(i) for c, i in zip(carry, inside, strict=True)], text_of().alias("text"))
+    more = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" if digests else "text string"
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("_id", "text")), more])
+    parts = _solved(rows, _solve)
+    named = [F.col(i).alias(c) for i, c in zip(inside, carry, strict=True)]
+    if parts is None:
+        out = spark.createDataFrame([], schema)
+    else:
+        out = parts.groupBy("block").applyInPandas(released(_cut(digests)), schema)
+    return out.select("doc_id", *named, *out.columns[1 + len(inside) :])
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
