@@ -38,6 +38,8 @@ RUN_BYTES = 1 << 19
 #: Places in a run fit 24 bits.
 LONGEST = 1 << 23
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
+#: Ends of repeats in a block that are added up at once.
+SETTLED = 1 << 20
 NULL_ID = -(2**63)
 _BYTES = seeded_words(256, 21)
 _COLUMNS = seeded_words(2 * SPAN, 22).reshape(2, SPAN) | np.uint64(1)
@@ -456,6 +458,18 @@ def _covered(kinds, raw: np.ndarray, off: np.ndarray, ids: np.ndarray) -> np.nda
         n = np.bincount(fragment)
         begin = np.cumsum(n) - n
         doc = np.searchsorted(off, at, side="right") - 1
+        rises: list[np.ndarray] = []
+        falls: list[np.ndarray] = []
+        held = 0
+
+        def settle() -> None:
+            """One pass over the block for many repeats."""
+            if rises:
+                at_rise, at_fall = np.concatenate(rises), np.concatenate(falls)
+                edge[:] += np.bincount(at_rise, minlength=len(edge)).astype(np.int32) - np.bincount(at_fall, minlength=len(edge)).astype(np.int32)
+                rises.clear()
+                falls.clear()
+
         for packed in kinds["repeat"]["a"]:
             own, start, length, small = pickle.loads(unpack(packed))
             for a in range(0, len(own), 1 << 16):
@@ -464,8 +478,13 @@ def _covered(kinds, raw: np.ndarray, off: np.ndarray, ids: np.ndarray) -> np.nda
                 where, times = order[ragged(n[f], begin[f])], n[f]
                 hit = ids[doc[where]] > np.repeat(small[cut], times)
                 begins = (at[where] - np.repeat(start[cut].astype(np.int64), times))[hit]
-                ends = begins + np.repeat(length[cut].astype(np.int64), times)[hit]
-                edge += np.bincount(begins, minlength=len(edge)).astype(np.int32) - np.bincount(ends, minlength=len(edge)).astype(np.int32)
+                rises.append(begins)
+                falls.append(begins + np.repeat(length[cut].astype(np.int64), times)[hit])
+                held += len(begins)
+                if held > SETTLED:
+                    settle()
+                    held = 0
+        settle()
     return np.cumsum(edge[:-1]) > 0
 
 
