@@ -33,9 +33,9 @@ from .graph import components
 from .shared import byte_batches, discard, drop, from_planes, pack, planes, ragged, released, scratch_root, table, text_bytes, text_of, unpack
 from .shingles import shingle_sets, signatures
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Text bytes to a bucket of hashes, LEAST_BUCKETS at least.
-BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
+BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 96
 NO_OWNER = 0xFFFFFFFF
 #: Sets of a run, by the bytes of their hashes: two runs meet in a task.
 RUN_BYTES = 8 << 20
@@ -374,6 +374,7 @@ class Search:
             x = self.sets[q]
             at = np.searchsorted(self.keys, x)
             at = at[self.keys[np.minimum(at, len(self.keys) - 1)] == x]
+            at = at[(self.ends[at + 1] - self.ends[at] > 1) | (self.owner[self.ends[at]] != q)]  # lists of others
             n, percent = len(x), self.percent
             smallest = least_overlap(n, percent)
             # no partner shares more than what is found, so none is larger than that allows
@@ -466,7 +467,7 @@ def _hub_links(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     hubs = prefix.groupBy("h").agg(F.count("*").alias("members"), F.max(F.struct("weight", "sid")).alias("hub")).filter("members > 1").select("h", "members", F.col("hub.sid").alias("hub"))
     near = prefix.join(hubs, "h").groupBy("sid").agg(F.max(F.struct("members", "h", "hub")).alias("x")).select("sid", "x.*").filter("sid <> hub")
     salts = F.ceil(F.col("members") / SALT_ROWS)
-    near = table(near.withColumn("salt", F.pmod(F.xxhash64("sid", F.lit(9)), salts)), "near-hubs")
+    near = table(near.withColumn("salt", F.pmod(F.xxhash64("sid", F.lit(9)), salts)), "near-hubs", release_shuffles=False)
     asked = near.select("h", "hub", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt")).distinct()
     hub_sets = sets.select(F.col("sid").alias("hub"), "hashes").join(asked, "hub")
     hub_sets = hub_sets.select(*[F.col(c).alias(f"hub_{c}") for c in ("h", "salt", "hub", "hashes")])  # cogrouped frames share no column
@@ -477,13 +478,13 @@ def _hub_links(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _search_links(prefix: DataFrame, sets: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join the components linked(node, root) wherever sets of two of them are similar."""
     comps = prefix.join(linked.select(F.col("node").alias("sid"), F.col("root").alias("comp")), "sid", "left")
-    comps = table(comps.withColumn("comp", F.coalesce("comp", "sid")), "near-comps")
+    comps = table(comps.withColumn("comp", F.coalesce("comp", "sid")), "near-comps", release_shuffles=False)
     mixed = comps.groupBy("h").agg(F.min("comp").alias("least"), F.max("comp").alias("_most")).filter("least < _most").select("h", "least")
-    open_ = table(comps.join(mixed, "h"), "near-open")
+    open_ = table(comps.join(mixed, "h"), "near-open", release_shuffles=False)
     drop(comps)
     roots = components(open_.filter("comp <> least").select(F.col("comp").alias("a"), F.col("least").alias("b")).distinct())
     placed = open_.join(roots.select(F.col("node").alias("comp"), "root"), "comp").select("root", "h", "sid", "comp", "n")
-    placed = table(placed, "near-placed")
+    placed = table(placed, "near-placed", release_shuffles=False)
     drop(open_)
     whole = placed.select("root", "sid", "comp", "n").distinct()
     weight = F.sum(F.col("n") * 8)
@@ -491,7 +492,7 @@ def _search_links(prefix: DataFrame, sets: DataFrame, linked: DataFrame, percent
     # a large root is taken apart by its shingles
     groups = whole.join(large, "root", "left_anti").select(F.lit(0).alias("kind"), F.col("root").alias("g"), "sid", "comp", "n")
     groups = groups.union(placed.join(large, "root").select(F.lit(1).alias("kind"), F.col("h").alias("g"), "sid", "comp", "n"))
-    groups = table(groups, "near-groups")
+    groups = table(groups, "near-groups", release_shuffles=False)
     drop(placed)
     parts = groups.groupBy("kind", "g", "comp").agg(weight.alias("_part"))
     stats = parts.groupBy("kind", "g").agg(F.sum("_part").alias("_all"), F.max(F.struct("_part", "comp")).alias("_top"))
@@ -539,7 +540,7 @@ def _linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFr
 
     least_hash = F.coalesce(F.min_by("least_hash", "least"), F.min("least_hash")).alias("least_hash")
     classes = decided.filter("n > 0").groupBy("sig").agg(F.min("least").alias("least"), least_hash, F.max("open").alias("open"), F.count("*").alias("rows"))
-    classes = table(classes, "near-classes")
+    classes = table(classes, "near-classes", release_shuffles=False)
     # one text for each set that may have a partner; a set is found again by its signature
     ids = classes.filter("open").select(F.coalesce("least", F.lit(NULL_ID)).alias("_id"), F.col("least_hash").alias("_text_hash"))
     chosen = rows.select(*_row_key(), "text").join(ids, ["_id", "_text_hash"], "left_semi")
@@ -559,7 +560,7 @@ def _linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFr
     more = table(_search_links(prefix, sets, components(links), percent), "near-links")
     drop(prefix)
     roots = components(links.union(more))
-    named = table(sets.select("sig", F.col("sid").alias("node")).join(roots, "node").select("sig", "root"), "near-roots")
+    named = table(sets.select("sig", F.col("sid").alias("node")).join(roots, "node").select("sig", "root"), "near-roots", release_shuffles=False)
     discard(spark, folder)
     return decided, classes, named
 
