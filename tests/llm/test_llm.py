@@ -51,6 +51,8 @@ def test_bpe_equals_the_library(sp):
     for i, x in enumerate(ts):
         ids = t.encode(x or "", add_special_tokens=False).ids
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))), x
+    twice = encode(df.filter("doc_id < 9").union(df.filter("doc_id < 9")), model, digests=True).collect()
+    assert sorted(map(str, twice)) == sorted(str(got[i]) for i in range(9) for _ in range(2))  # repeated rows
     some = encode(df.filter("doc_id < 20"), model, carry=("source", "rank"))
     back = {r.doc_id: (r.text, r.source, r["rank"]) for r in decode(some, model).collect()}
     assert back[3] == (t.decode(t.encode(ts[3] or "", add_special_tokens=False).ids, skip_special_tokens=False), "s", 1)
@@ -70,6 +72,8 @@ def test_token_counts_equal_the_library(sp):
     for i, x in enumerate(ts):
         n = len(m.encode(x or ""))
         assert got[i] == (len((x or "").encode()), n, n > 4096), x
+    df = texts(sp, ts).filter("doc_id < 9")
+    assert sorted((r.doc_id, r.n_tokens) for r in count_tokens(df.union(df), model).collect()) == sorted((i, got[i][1]) for i in range(9) for _ in range(2))
     assert count_tokens(texts(sp, ["a"]).limit(0), model).count() == 0
 
 
@@ -101,6 +105,42 @@ def test_id_shards_equal_the_library(sp, tmp_path):
     assert id_documents(df.limit(0), model).count() == 0
 
 
+def test_id_shards_of_hot_keys_and_lookup(sp, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import id_shards
+
+    monkeypatch.setattr(id_shards, "SHARD_BYTES", 400)
+    model, rng = P.path("byte_bpe_50k.json"), random.Random(6)
+    t = Tokenizer.from_file(model)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 9)))
+    rows = [(rng.choice([None, None, 7, i]), " ".join(word() for _ in range(rng.randint(0, 30)))) for i in range(300)]
+    rows += [(7, "same text"), (7, "same text"), (1000, "z" * 5000), (-5, None), (-5, "")]
+    path = str(tmp_path / "hot")
+    got = id_shards.id_documents(docs(sp, [(i, x, "en", "s") for i, x in rows]), model, path).collect()
+    ids = lambda x: [*t.encode(x or "", add_special_tokens=False).ids, 2]
+    crc = lambda x: zlib.crc32(np.array(ids(x), "<u4").tobytes())
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted((str(i), len(ids(x)), crc(x)) for i, x in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    order = [-(2**63) if r.doc_id is None else r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert order == sorted(order)
+    shards = sp.read.parquet(path)
+    assert shards.filter("first_key = 7 AND last_key = 7").count() > 1  # a hot key has several shards, of bounded size
+    assert max(len(r.payload) for r in shards.select("payload").collect() if len(r.payload) < 4000) < 800
+    asked = sp.createDataFrame([(7,), (7,), (None,), (1000,), (-5,), (10**9,), (500,), (-6,)], "doc_id bigint")
+    for spans in (1, 8, 1024):
+        found: dict = {}
+        for r in id_shards.lookup(shards, asked, spans=spans).orderBy("shard").collect():
+            found[r.doc_id] = found.get(r.doc_id, []) + np.frombuffer(bytes(r.ids), "<u2").tolist()
+        assert set(found) == {7, None, 1000, -5} and found[1000] == ids("z" * 5000) and found[-5] == [2, 2]
+        for k in (7, None):
+            assert sorted(found[k]) == sorted(y for i, x in rows if i == k for y in ids(x))
+    assert id_shards.lookup(shards, asked.limit(0)).count() == 0 and id_shards.lookup(shards.limit(0), asked).count() == 0
+
+
 def test_perfect_hash_is_minimal():
     from tidemark.llm.id_shards import PerfectHash
 
@@ -148,6 +188,37 @@ def test_suffix_dedup_against_all_windows(sp):
     assert remove_repeats(df.limit(0), digests=True).count() == 0
 
 
+def test_repeat_groups_hold_all_occurrences(sp):
+    from tidemark.llm.suffix_dedup import LEAST, repeat_groups
+
+    rng = random.Random(17)
+    shared = ["".join(rng.choice("abcdefg hij") for _ in range(rng.randint(50, 90))) for _ in range(6)]
+    rows = []
+    for i in range(80):
+        rows.append((i, "".join(rng.choice([rng.choice(shared), "".join(rng.choice("xyz w") for _ in range(rng.randint(1, 40)))]) for _ in range(rng.randint(0, 5)))))
+    rows += [(90, None), (91, "")]
+    text = {i: (t or "").encode() for i, t in rows}
+    groups: dict = {}
+    for r in repeat_groups(docs(sp, [(i, t, "en", "s") for i, t in rows])).collect():
+        groups.setdefault((r.repeat, r.length), set()).add((r.doc_id, r.at))
+    covered = {i: bytearray(len(t)) for i, t in text.items()}
+    for (_, n), places in groups.items():
+        held = {text[i][a : a + n] for i, a in places}
+        assert len(held) == 1 and n >= LEAST  # one string each
+        s = held.pop()
+        assert places == {(i, a) for i, t in text.items() for a in range(len(t) - n + 1) if t[a : a + n] == s}  # and every occurrence of it
+        for i, a in places:
+            covered[i][a : a + n] = b"\1" * n
+    windows: dict = {}
+    for i, t in text.items():
+        for a in range(len(t) - LEAST + 1):
+            windows.setdefault(t[a : a + LEAST], set()).add((i, a))
+    for places in windows.values():
+        if len({i for i, _ in places}) > 1:  # each string that two documents share lies in a repeat
+            assert all(all(covered[i][a : a + LEAST]) for i, a in places)
+    assert repeat_groups(docs(sp, [(1, "a", "en", "s")]).limit(0)).count() == 0
+
+
 def test_interval_scan_against_all_pairs():
     from tidemark.llm.suffix_dedup import _scan
 
@@ -197,7 +268,7 @@ def test_fit_keeps_languages_of_few_long_texts(sp):
     for k, n in enumerate((2, 3, 6)):  # languages of few texts, each far longer than the sample
         rows += [(1000 + 10 * k + i, text("ghijklmnopqrstuvwxyz"[6 * k : 6 * k + 6], 6000), f"l{n}", "s") for i in range(n)]
     models = fit(docs(sp, rows), 2000)
-    assert models.langs == ["aa", "l2", "l3", "l6"] and np.isfinite(models.limits).all()
+    assert models.langs == ["aa", "l2", "l3", "l6"] and all(np.isfinite(x.middle) for x in models.limits)
     for k, n in enumerate((2, 3, 6)):
         assert models.predict([text("ghijklmnopqrstuvwxyz"[6 * k : 6 * k + 6], 30)])[0][0] == f"l{n}"
 
@@ -240,13 +311,58 @@ def test_null_and_repeated_ids_remove_only_their_component(sp):
     assert sorted((str(i), str(either.get(x, x))) for i, x in got) == sorted((str(i), str(x)) for i, x in want)
 
 
-def test_runs_split_like_whole(sp, monkeypatch):
+def test_runs_and_many_buckets_like_whole(sp, monkeypatch):
     from tidemark.llm import near
 
-    rows = near_rows()[:120]
-    monkeypatch.setattr(near, "RUN_BYTES", 2000)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.similarity_components(docs(sp, [(i, t, "en", "s") for i, t in rows])).collect()}
-    assert got == brute_components(rows)
+    rows = near_rows()[:160]
+    # every set of a root apart from most others, each comparison in a task of a few, more than LEAST_BUCKETS buckets
+    for name, value in (("RUN_BYTES", 2000), ("SALT_ROWS", 3), ("BUCKET_BYTES", 100), ("BLOCK_BYTES", 3000), ("HOT_SHARE", 0.01)):
+        monkeypatch.setattr(near, name, value)
+    assert sum(len(t or "") + 1 for _, t in rows) // near.BUCKET_BYTES > near.LEAST_BUCKETS
+    hot = [*rows, *((2000 + i, rows[3][1]) for i in range(200))]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in near.similarity_components(docs(sp, [(i, t, "en", "s") for i, t in hot])).collect()]
+    want = brute_components(hot)
+    assert sorted(got) == sorted((d, *x) for d, x in want.items())
+
+
+def test_merge_skip_against_counts():
+    from tidemark.llm.near import merge_skip
+
+    rng = random.Random(21)
+    for _ in range(400):
+        lists = [sorted(rng.sample(range(30), rng.randint(0, 12))) for _ in range(rng.randint(0, 9))]
+        least = rng.randint(1, 6)
+        counts = {x: sum(x in one for one in lists) for x in range(30)}
+        assert merge_skip(lists, least) == [(x, n) for x, n in counts.items() if n >= least]
+
+
+def test_search_against_all_pairs():
+    from tidemark.llm.near import Search
+
+    rng = random.Random(22)
+    for _ in range(60):
+        base = [rng.sample(range(200), rng.randint(1, 40)) for _ in range(6)]
+        sets = [np.unique(np.array([x if rng.random() > 0.07 else rng.randrange(200) for x in rng.choice(base)], dtype="<u8")) for _ in range(40)]
+        comp = np.array([rng.choice([0, 0, 0, i]) for i in range(40)])
+        asks = comp != 0
+        links = Search(np.arange(40) + 100, sets, comp, asks, np.ones(40, bool), 80).links()
+        similar = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+        assert all(similar(sets[a - 100], sets[b - 100]) for a, b in links)
+
+        def united(pairs):
+            parent = list(range(40))
+
+            def find(i):
+                while parent[i] != i:
+                    i = parent[i]
+                return i
+
+            for a, b in pairs:
+                parent[find(a)] = find(b)
+            return [min(j for j in range(40) if find(j) == find(i)) for i in range(40)]
+
+        known = [(i, j) for i in range(40) for j in range(i) if comp[i] == comp[j]]
+        assert united(known + [(a - 100, b - 100) for a, b in links]) == united(known + [(i, j) for i in range(40) for j in range(i) if similar(sets[i], sets[j])])
 
 
 def fill(sizes, weights, share, cap):
@@ -279,6 +395,13 @@ def test_mix_meets_targets(sp):
         own = [r for r in got if r.source == n]
         assert {r.source_size for r in own} == {size[n]} and abs(own[0].target - want[n]) < 1e-6
         assert sum(r.taken for r in own) == round(want[n]) and all(0 <= r.taken <= 2 * r["size"] for r in own)
+    for n in names:  # which rows: by unsigned key, whole epochs first, then up to the budget
+        own = sorted((r for r in got if r.source == n), key=lambda r: r.key % 2**64)
+        budget = round(want[n])
+        epochs, rest = divmod(budget, size[n]) if size[n] else (0, 0)
+        for r in own:
+            assert r.taken == epochs * r["size"] + max(0, min(r["size"], rest))
+            rest -= r["size"]
     assert sorted(map(str, mix(df.repartition(7)).collect())) == sorted(map(str, got)) and len(got) == len(rows)
     out = mixed_documents(df)
     copies = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
@@ -286,6 +409,18 @@ def test_mix_meets_targets(sp):
     assert mix(df.limit(0)).count() == 0
 
 
+def test_mix_of_many_sources(sp):
+    from tidemark.llm.mixing import mix
+
+    rng = random.Random(19)
+    rows = [(i, "w " * rng.randint(0, 9), "en", f"host{rng.randint(0, 299)}") for i in range(2000)]
+    got = mix(docs(sp, rows)).collect()
+    names = sorted({r[3] for r in rows})
+    size = {n: sum(len(r[1].split()) for r in rows if r[3] == n) for n in names}
+    want = dict(zip(names, fill([size[n] for n in names], [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5, 2), strict=True))
+    assert all(abs(r.target - want[r.source]) < 1e-6 for r in got)
+
+
 def test_language_id(sp):
     from tidemark.llm.language_id import Models, identify, keep_identified
 
@@ -303,12 +438,105 @@ def test_language_id(sp):
     assert kept.filter("doc_id IN (900, 901, 902)").count() == 0
     assert {r.lang_pred for r in identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert identify(df.limit(0)).count() == 0
-    m = Models({"xx": [r[1] for r in rows[:400] if r[2] == "xx"]})
+    m = Models.of_texts({"xx": [r[1] for r in rows[:400] if r[2] == "xx"]}).models[0]
     heads, back = m.backs[2]
     keys, prob = m.tables[2]
     assert np.all(np.diff(keys.astype(object)) > 0) and prob.max() <= 0 and back.max() <= 1e-6 and len(heads)
 
 
+def slow_kneser_ney(train, text, order=4):
+    """Cross-entropy per character, by dictionaries: interpolated, one discount an order, counts of continuations below the top."""
+    from collections import Counter
+
+    from tidemark.llm.language_id import ALPHABET
+
+    def chars(t):
+        words = "".join(c if c.isalpha() else " " for c in t.lower()).split()
+        return " " * (order - 1) + " ".join(words) + " "
+
+    def grams(t):
+        x = chars(t)
+        return [x[i - order + 1 : i + 1] for i in range(order - 1, len(x))]
+
+    counts = {order: Counter(g for t in train for g in grams(t))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    less, total, kinds = {}, {}, {}
+    for n, c in counts.items():
+        once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        less[n] = once / (once + 2 * twice) if once else 0.5
+        total[n], kinds[n] = Counter(), Counter()
+        for g, v in c.items():
+            total[n][g[:-1]] += v
+            kinds[n][g[:-1]] += 1
+
+    def prob(g):
+        n = len(g)
+        if not n:
+            return 1 / ALPHABET
+        rest = prob(g[1:])
+        if not total[n][g[:-1]]:
+            return rest
+        return max(counts[n][g] - less[n], 0) / total[n][g[:-1]] + less[n] * kinds[n][g[:-1]] / total[n][g[:-1]] * rest
+
+    own = grams(text)
+    return -sum(np.log(prob(g)) for g in own) / len(own)
+
+
+def test_language_models_equal_a_slow_kneser_ney(sp):
+    from tidemark.llm.language_id import Models, fit
+
+    rng = random.Random(4)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 40)))
+    train = {"aa": [text("abcé") for _ in range(30)], "bb": [text("abdß") for _ in range(20)]}
+    asked = [text("abcé"), text("abdß"), text("xyz"), text("aXb"), "a", "Ab, c!"]
+    h, n = Models.of_texts(train).entropies(asked)
+    for i, t in enumerate(asked):
+        for j, k in enumerate(("aa", "bb")):
+            assert abs(h[i, j] - slow_kneser_ney(train[k], t)) < 1e-4, (t, k)
+    # counted by executors: the same models as from the texts that the sample gives to fit
+    rows = [(i, t, k, "s") for i, (k, t) in enumerate((k, t) for k, v in train.items() for t in v)]
+    models, df = fit(docs(sp, rows + rows)), docs(sp, rows)
+    import tidemark.llm.language_id as lid
+
+    taken = lid._sample(df, lid.SAMPLE_BYTES, lid.TOTAL_BYTES).filter("NOT spare").collect()
+    again = Models.of_texts({k: [r.text for r in taken if r.lang == k] for k in train})
+    assert all((a.tables[n][0] == b.tables[n][0]).all() and np.allclose(a.tables[n][1], b.tables[n][1]) for a, b in zip(models.models, again.models, strict=True) for n in range(1, 5))
+
+
+def test_foreign_texts_are_rejected_and_own_ones_kept(sp):
+    from tidemark.llm.language_id import fit, predict
+
+    rng = random.Random(12)
+    words = {k: ["".join(rng.choice(c) for _ in range(rng.randint(2, 8))) for _ in range(400)] for k, c in {"aa": "abcdeilnorst", "bb": "äbdefghinrstu", "far": "бвгдежзик"}.items()}
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    rows = [(i, text(k, rng.randint(1, 60)), k, "s") for i in range(300) for k in ("aa", "bb")]
+    models = fit(docs(sp, rows))
+    asked = [(i, text("far", 10 + i), None, "s") for i in range(20)] + [(100 + i, text(k, rng.randint(1, 60)), None, "s") for i, k in enumerate(["aa", "bb"] * 200)] + [(900, "qx " * 4000, None, "s")]
+    got = {r.doc_id: (r.lang_pred, r.rejected) for r in predict(docs(sp, asked), models).collect()}
+    assert all(got[i][1] for i in [*range(20), 900])
+    assert sum(got[100 + i] == (("aa", "bb")[i % 2], False) for i in range(400)) >= 398
+
+
+def test_fit_of_many_languages_and_one_repeated_text(sp):
+    from tidemark.llm.language_id import fit
+
+    rng = random.Random(13)
+    rows = [(i, "same words again and again " * 40, "hot", "s") for i in range(400)] + [(400, "another text of it", "hot", "s")]
+    rows += [(1000 + i, " ".join(chr(0x430 + i % 30) * rng.randint(1, 4) for _ in range(30)), f"l{i % 40}", "s") for i in range(400)]
+    models = fit(docs(sp, rows), 2000, 41 * 1000)
+    assert len(models.langs) == 41 and all(len(m.tables[4][0]) for m in models.models)
+    assert models.predict(["same words again"])[0][0] == "hot" and np.isfinite(models.limits[models.langs.index("hot")].middle)
+    with pytest.raises(ValueError, match="languages"):
+        import tidemark.llm.language_id as lid
+
+        keep, lid.MODEL_BYTES = lid.MODEL_BYTES, 1000
+        try:
+            fit(docs(sp, rows), 2000)
+        finally:
+            lid.MODEL_BYTES = keep
+
+
 def test_hilbert_curve_and_shards(sp):
     from tidemark.llm.hilbert import hilbert_index, shard
 
@@ -332,6 +560,42 @@ def test_hilbert_curve_and_shards(sp):
     assert not re.search("Python|Pandas|Arrow", plan.split("Physical Plan")[-1])
 
 
+def test_hilbert_keeps_equal_texts_together_and_tells_long_prefixes_apart(sp):
+    from tidemark.llm.hilbert import _lines, shard
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice([f"text {i % 9}", f"own {i}"]), "en", "s") for i in range(400)] + [(1000 + i, "hot", "en", "s") for i in range(200)]
+    got = sorted(shard(docs(sp, rows)).collect(), key=lambda r: (r.shard, r.slot))
+    places: dict = {}
+    for n, r in enumerate(got):
+        places.setdefault((r["size"], r.text_crc32, r.curve), []).append(n)
+    assert all(v == list(range(v[0], v[0] + len(v))) for v in places.values()) and max(map(len, places.values())) >= 200
+    hosts = docs(sp, [(i, "x", "en", f"https://host{i % 7}.example") for i in range(700)])
+    lines = {r.value: r.line for r in _lines(hosts, "source", 5).collect()}
+    assert len(lines) == 7 and len(set(lines.values())) == 7 and [lines[k] for k in sorted(lines)] == sorted(lines.values())
+    assert all(1 <= x <= 31 for x in lines.values())
+
+
+def test_hilbert_files_are_pruned(sp, tmp_path):
+    from tidemark.llm.hilbert import files_for, write_shards
+
+    rng = random.Random(3)
+    rows = [(i, "x" * rng.choice([5, 50, 500, 5000]), rng.choice(["de", "en", "fr", "it", None]), rng.choice("abcdefgh")) for i in range(2000)]
+    path = str(tmp_path / "files")
+    stats = write_shards(docs(sp, rows), path, shards=32)
+    files = stats.count()
+    assert files >= 32 and stats.agg(F.sum("rows")).first()[0] == 2000
+    back = sp.read.parquet(path)
+    assert sorted((r.doc_id, r.text, r.lang, r.source, r["rank"]) for r in back.select("doc_id", "text", "lang", "source", "rank").collect() if r.lang) == sorted((i, t, lang, s, 1) for i, t, lang, s in rows if lang)
+    for want in ({"source": ("c", "c")}, {"source": ("c", "c"), "lang": ("fr", "fr")}, {"tm_size": (5001, 6000)}):
+        names = {r.file for r in files_for(stats, **want).collect()}
+        hit = back
+        for c, (low, high) in want.items():
+            hit = hit.filter(F.col(c).between(low, high))
+        held = {r.file for r in hit.select(F.input_file_name().alias("file")).distinct().collect()}
+        assert held and held <= names and len(names) <= 0.6 * files, (want, len(names), files)
+
+
 def slow_adpcm(block):
     from tidemark.llm.telephony import CHANGES, STEPS
 
@@ -350,13 +614,15 @@ def slow_adpcm(block):
     return out
 
 
-def test_telephony_round_trip(sp):
+def test_telephony_round_trip(sp, tmp_path):
     from tidemark.llm import telephony as t
 
     assert t.EXPAND[t.MULAW][[0x00, 0x7F, 0x80, 0xFF]].tolist() == [-32124, 0, 32124, 0]
     assert t.EXPAND[t.ALAW][[0xD5, 0x55, 0x2A, 0xAA]].tolist() == [8, -8, -32256, 32256]
     ts = odd_texts(4, 60, PARTS) + ["same", "same"]
-    got = {r.doc_id: r for r in t.audio_digests(texts(sp, ts), with_pcm=True).collect()}
+    path = str(tmp_path / "audio")
+    got = {r.doc_id: r for r in t.audio_digests(texts(sp, ts), path).collect()}
+    stored = {r.doc_id: r for r in sp.read.parquet(path).collect()}
     seen = set()
     for i, x in enumerate(ts):
         raw = (x or "").encode()
@@ -368,7 +634,10 @@ def test_telephony_round_trip(sp):
         assert (r.media_bytes, r.media_sha256) == (len(wave), sha(wave))
         found, data = t.read_wave(wave)
         assert found == tag and t.payload_of(found, data) == payload
-        pcm = np.frombuffer(bytes(r.pcm), "<i2")
+        assert bytes(stored[i].media) == wave
+        pcm = t.unpack_pcm([bytes(stored[i].pcm)])[0]
+        assert len(stored[i].pcm) == 1 + len(pcm)
+        assert f"n={len(pcm)};peak={abs(pcm.astype(int)).max()};" in r.feature
         if tag == t.ADPCM and len(payload) < 2000:
             assert pcm[0::2].tolist() == [y for block in data for y in slow_adpcm(block.tolist())]
         elif tag != t.ADPCM:
@@ -382,19 +651,28 @@ def test_telephony_round_trip(sp):
     assert t.audio_digests(texts(sp, ["a"]).limit(0)).count() == 0
 
 
+def test_stored_pcm_is_lossless():
+    from tidemark.llm.telephony import pack_pcm, unpack_pcm
+
+    rng = np.random.default_rng(9)
+    signals = [rng.integers(-32768, 32768, 2 * n).astype("<i2") for n in (1, 2, 50, 7)] + [np.repeat(np.int16([-32768, 32767, 0]), 4)]
+    for smooth in ([False] * 5, [True] * 5, [True, False, True, False, True]):
+        assert all((a == b).all() for a, b in zip(unpack_pcm(pack_pcm(signals, smooth)), signals, strict=True))
+
+
 def test_top_k_against_all_products(sp):
     from tidemark.llm.knn import top_k
 
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
-    rows += [(1000 + i, rows[7][1]) for i in range(80)] + [(2000, None), (2050, [1.0, None, *[0.0] * 6]), (2100, [float("nan")] * 8), (2150, [float("inf")] * 8), (2200, [1.0, 2.0]), (2201, [3.0, 4.0]), (None, [1.0] * 8), (2300, [1e9] * 8), (100, rows[100][1])]
+    rows += [(1000 + i, rows[7][1]) for i in range(80)] + [(2000, None), (2050, [1.0, None, *[0.0] * 6]), (2100, [float("nan")] * 8), (2150, [float("inf")] * 8), (2200, [1.0, 2.0]), (2201, [3.0, 4.0]), (None, [1.0] * 8), (2300, [1e9] * 8), (100, rows[100][1]), (2400, [1e7, 1.0, *[0.0] * 6]), (2450, [1e7, 2.0, *[0.0] * 6]), (2500, [1e300] * 8), (2550, [-1e300, *[0.0] * 7]), (2600, [-0.0] * 8)]
     df = sp.createDataFrame([(i, v, 5) for i, v in rows], "vec_id bigint, embedding array<double>, rank int").repartition(3)
     ok = {i: [int(np.floor(256 * c)) for c in v] for i, v in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)}
-    assert ok.pop(2300)  # too large for scores in 64 bits
+    near = lambda s: max(-(2**63), min(2**63 - 1, s))
     want = set()
     for q, a in ok.items():
         if q % 50 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in ok.items() if i != q and len(a) == len(b))[:5]
+            best = sorted((-near(sum(x * y for x, y in zip(a, b, strict=True))), i) for i, b in ok.items() if i != q and len(a) == len(b))[:5]
             want |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
     assert {tuple(r) for r in top_k(df, pivots=6).collect()} == want
     assert top_k(df.limit(0)).count() == 0
