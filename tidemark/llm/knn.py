@@ -1,55 +1,74 @@
 """Exact top-k by inner product: a Voronoi kNN join.
 
-Pivots divide the data into cells. Summaries of the cells (rows, radius, the smallest distances to the pivot) bound every
-inner product: q.x lies within |q| * d(x, pivot) of q.pivot. The (k+1)th best of the lower bounds is a score that each
-query surely reaches, so a query goes only to the cells whose upper bound isn't below it. Cells are cut into chunks of
-about CHUNK_ROWS rows and queries into blocks, so a task's size doesn't depend on a cell's. Equal vectors are one row
-that keeps its k+1 smallest ids: no more of them can be among the first k of any query.
+Pivots divide the data into cells and the queries into groups. Summaries of the cells (rows, radius, the smallest distances
+to the pivot) bound every inner product: q.x lies within |q| * d(x, pivot) of q.pivot. The (k+1)th best of the lower bounds
+is a score that each query surely reaches, so a query goes only to the cells whose upper bound isn't below it, and a cell
+goes only to the groups with a query that wants it. Cells are cut into chunks of about CHUNK_ROWS rows and groups into
+blocks, so a task's size doesn't depend on a cell's. Equal vectors are one row that keeps its k+1 smallest ids: no more of
+them can be among the first k of any query.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import mix64, table
 
-PIVOTS = 48
+#: Pivots: the root of the number of distinct vectors within these ends.
+LEAST_PIVOTS, MOST_PIVOTS = 48, 4096
 CHUNK_ROWS = 4096
 QUERY_BLOCK = 2048
 SCALE = 256
+LONG = 2**63
 
 
 def quantise(vectors: list) -> list[bytes | None]:
-    """floor(256 * x) of each component as int64; None for a vector that is null or holds null or non-finite components.
-
-    None as well for one whose squares sum to 2^62 or more: no two others can have a product that a long doesn't hold.
-    """
+    """floor(256 * x) of each component as a double, which holds it exactly; None for a vector that is null or holds null or
+    non-finite components. What passes the range of a double counts as its end."""
     out: list[bytes | None] = []
+    most = np.finfo(np.float64).max
     for v in vectors:
         x = None if v is None else np.asarray([np.nan if c is None else c for c in v] if isinstance(v, list) else v, dtype=np.float64)
-        x = None if x is None or not np.isfinite(x).all() else np.floor(SCALE * x)
-        out.append(None if x is None or (x * x).sum() >= 2.0**62 else x.astype(np.int64).tobytes())
+        if x is None or not np.isfinite(x).all():
+            out.append(None)
+            continue
+        with np.errstate(over="ignore"):
+            out.append((np.clip(np.floor(SCALE * x), -most, most) + 0.0).tobytes())  # no negative zero
     return out
 
 
 def matrix(rows) -> np.ndarray:
     rows = list(rows)
-    return np.frombuffer(b"".join(rows), dtype=np.int64).reshape(len(rows), -1)
+    return np.frombuffer(b"".join(rows), dtype=np.float64).reshape(len(rows), -1)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in doubles where no sum can pass 2^53, else as Python integers."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if most < 2.0**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return (a.astype(object) @ b.astype(object).T).astype(np.int64)
+    """Exact integer inner products, as the nearest long: by doubles where no sum can pass 2^53, else as Python integers."""
+    if not len(a) or not len(b) or not a.shape[1]:
+        return np.zeros((len(a), len(b)), dtype=np.int64)
+    small = 2.0**53 / a.shape[1]
+    top_a, top_b = np.abs(a).max(1), np.abs(b).max(1)
+    if float(top_a.max()) * float(top_b.max()) < small:
+        return (a @ b.T).astype(np.int64)
+    usual_a, usual_b = top_a < math.sqrt(small), top_b < math.sqrt(small)
+    out = np.empty((len(a), len(b)), dtype=object)
+    out[np.ix_(usual_a, usual_b)] = (a[usual_a] @ b[usual_b].T).astype(np.int64).astype(object)
+    whole = lambda x: np.array([[int(c) for c in r] for r in x], dtype=object).reshape(x.shape)
+    for rows, columns in ((~usual_a, np.ones(len(b), bool)), (usual_a, ~usual_b)):
+        if rows.any() and columns.any():
+            out[np.ix_(rows, columns)] = whole(a[rows]) @ whole(b[columns]).T
+    return np.clip(out, -LONG, LONG - 1).astype(np.int64)
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    x, pivots = x.astype(np.float64), pivots.astype(np.float64)
-    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * x @ pivots.T, 0))
+    """Distance of each row to each pivot; infinite where it passes a double."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * x @ pivots.T, 0))
+    return np.where(np.isnan(d), np.inf, d)
 
 
 def _distinct(vectors: DataFrame, id_column: str, column: str, keep: int) -> DataFrame:
@@ -69,21 +88,23 @@ def _distinct(vectors: DataFrame, id_column: str, column: str, keep: int) -> Dat
     return partial.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"))
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec_id", column: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec_id", column: str = "embedding", pivots: int | None = None) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k best of all other rows for each row whose id is divisible by every.
 
     Score: inner product of the vectors floor(256 * x); ties go to the smaller id; fewer than k candidates give fewer
-    rows. Rows with a null id, vectors that are null or hold null or non-finite components, and those whose product with
-    themselves passes 2^62, take no part. Vectors of different lengths are never compared. A row repeated with the same id and vector
-    counts once. An empty table gives an empty result; other columns are ignored.
+    rows. Rows with a null id and vectors that are null or hold null or non-finite components take no part. Scores are
+    exact; one beyond 64 bits is given as the nearest long, and such scores tie. Vectors of different lengths are never
+    compared. A row repeated with the same id and vector counts once. An empty table gives an empty result; other columns
+    are ignored. The driver holds the pivots and a summary for each.
     """
     keep = k + 1
-    data = table(_distinct(vectors, id_column, column, keep).withColumn("dim", F.length("v") / 8), "knn-distinct").withColumn("dim", F.col("dim").cast("int"))
+    data = table(_distinct(vectors, id_column, column, keep).withColumn("dim", (F.length("v") / 8).cast("int")), "knn-distinct")
+    pivots = pivots or max(LEAST_PIVOTS, min(MOST_PIVOTS, math.isqrt(data.count())))
     chosen: dict[int, list[bytes]] = {}
     for r in data.orderBy(F.xxhash64("v"), "v").limit(pivots).select("dim", "v").collect():  # at most pivots rows
         chosen.setdefault(r["dim"], []).append(bytes(r["v"]))
     chosen = {d: v for d, v in chosen.items() if d}
-    far = lambda d: matrix(chosen[d]) if d in chosen else np.zeros((1, max(d, 1)), np.int64)
+    far = lambda d: matrix(chosen[d]) if d in chosen else np.zeros((1, max(d, 1)))
 
     def by_dim(batch):
         dims = np.array(batch.column("dim").to_pylist(), dtype=np.int64)
@@ -137,28 +158,61 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec
                 if not have or d == 0:
                     floor, wanted = np.full(len(at), -np.inf), np.ones((len(at), len(have)), bool)
                 else:
-                    q, p = matrix(v).astype(np.float64), far(d)[[c for c, *_ in have]].astype(np.float64)
-                    norm, inner = np.sqrt((q * q).sum(1)), q @ p.T
-                    slack = 1e-9 * (1 + np.abs(inner) + norm[:, None] * np.sqrt((p * p).sum(1))[None, :]) + 1e-6 * norm[:, None]
-                    high = inner + norm[:, None] * np.array([r for _, _, r, _ in have])[None, :] + slack
-                    low = np.concatenate([inner[:, [j]] - norm[:, None] * np.array(near)[None, :] - slack[:, [j]] for j, (*_, near) in enumerate(have)], axis=1)
-                    floor = -np.sort(-low, axis=1)[:, keep - 1] if low.shape[1] >= keep else np.full(len(at), -np.inf)
-                    wanted = high >= floor[:, None]
+                    q, p = matrix(v), far(d)[[c for c, *_ in have]]
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        norm, inner = np.sqrt((q * q).sum(1)), q @ p.T
+                        slack = 1e-9 * (1 + np.abs(inner) + norm[:, None] * np.sqrt((p * p).sum(1))[None, :]) + 1e-6 * norm[:, None]
+                        high = inner + norm[:, None] * np.array([r for _, _, r, _ in have])[None, :] + slack
+                        low = np.concatenate([inner[:, [j]] - norm[:, None] * np.array(near)[None, :] - slack[:, [j]] for j, (*_, near) in enumerate(have)], axis=1)
+                    low[~np.isfinite(low)] = -np.inf  # beyond a double: no bound
+                    floor = -np.partition(-low, keep - 1, axis=1)[:, keep - 1] if low.shape[1] >= keep else np.full(len(at), -np.inf)
+                    wanted = ~(high < floor[:, None])
+                    floor = np.minimum(floor, LONG / 2)  # scores are longs
                 i, j = np.nonzero(wanted)
-                ids = np.array(batch.column("query_id").to_pylist(), dtype=np.int64)[at]
-                chunks = [-(-have[x][1] // CHUNK_ROWS) for x in j]
-                yield pa.RecordBatch.from_arrays([pa.array([d] * len(i), pa.int32()), pa.array([have[x][0] for x in j], pa.int32()), pa.array(chunks, pa.int32()), pa.array(ids[i], pa.int64()), pa.array(floor[i]), pa.array([v[x] for x in i], pa.binary())], ["dim", "cell", "chunks", "query_id", "floor", "v"])
-
-    asked = table(asked.select("query_id", F.col("v"), (F.length("v") / 8).cast("int").alias("dim")), "knn-queries")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    routed = asked.mapInArrow(route, "dim int, cell int, chunks int, query_id bigint, floor double, v binary")
-    routed = routed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    chunks = F.lit(1)
-    for d, have in summary.items():
-        for c, n, *_ in have:
-            if n > CHUNK_ROWS:
-                chunks = F.when((F.col("dim") == d) & (F.col("cell") == c), -(-n // CHUNK_ROWS)).otherwise(chunks)
-    held = cells.withColumn("chunk", F.pmod(F.xxhash64("v"), chunks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+                ids = batch.column("query_id").to_numpy()[at]
+                first, parts = np.array([blocks[d, c] for c in batch.column("own").to_numpy()[at].tolist()], dtype=np.int64).reshape(-1, 2).T
+                block = (first.astype(np.uint64) + mix64(ids.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int32)
+                cells_ = np.array([c for c, *_ in have], dtype=np.int32)
+                chunks_ = np.array([-(-n // CHUNK_ROWS) for _, n, *_ in have], dtype=np.int32)
+                arrays = [pa.array(np.full(len(i), d, np.int32)), pa.array(cells_[j]), pa.array(chunks_[j]), pa.array(block[i]), pa.array(ids[i]), pa.array(floor[i]), pa.array([v[x] for x in i], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["dim", "cell", "chunks", "block", "query_id", "floor", "v"])
+
+    def group(batches):
+        """The cell of the pivot nearest to each query."""
+        import pyarrow as pa
+
+        for batch in batches:
+            for d, at, v in by_dim(batch):
+                own = distances(matrix(v), far(d)).argmin(1) if d else np.zeros(len(at), np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(at)), pa.array(v, pa.binary()), pa.array(np.full(len(at), d, np.int32)), pa.array(own.astype(np.int32))], ["query_id", "v", "dim", "own"])
+
+    asked = asked.select("query_id", F.col("v"), (F.length("v") / 8).cast("int").alias("dim"))
+    asked = table(asked.mapInArrow(group, "query_id bigint, v binary, dim int, own int"), "knn-queries")
+    sizes = {(r["dim"], r["own"]): r["n"] for r in asked.groupBy("dim", "own").agg(F.count("*").alias("n")).collect()}  # a row a cell
+
+    # neighbouring groups fill a block of queries together, a large one has several: the fewer blocks, the fewer copies of data
+    blocks: dict[tuple[int, int], tuple[int, int]] = {}
+    last, held = -1, QUERY_BLOCK
+    for d in sorted({d for d, _ in sizes}):
+        held = QUERY_BLOCK
+        near = np.argsort(distances(far(d), far(d)[:1])[:, 0], kind="stable").tolist() if d else [0]
+        for c in [c for c in near if (d, c) in sizes]:
+            n = sizes[d, c]
+            if held + n > QUERY_BLOCK:
+                last, held = last + 1, 0
+            parts = -(-n // QUERY_BLOCK)
+            blocks[d, c] = last, parts
+            last, held = last + parts - 1, held + n
+
+    chunks_of = {(d, c): -(-n // CHUNK_ROWS) for d, have in summary.items() for c, n, *_ in have if n > CHUNK_ROWS}
+    named = F.create_map(*[F.lit(x) for (d, c), n in chunks_of.items() for x in (f"{d}:{c}", n)]) if chunks_of else None
+    chunks = F.coalesce(F.try_element_at(named, F.concat_ws(":", "dim", "cell")), F.lit(1)) if chunks_of else F.lit(1)
+    routed = asked.mapInArrow(route, "dim int, cell int, chunks int, block int, query_id bigint, floor double, v binary")
+    routed = table(routed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks"), "knn-routed")
+    key = ["dim", "cell", "chunk", "block"]
+    wanted = routed.select(*[F.col(c).alias(f"to_{c}") for c in key]).distinct()  # cogrouped frames share no column
+    rows = cells.withColumn("chunk", F.pmod(F.xxhash64("v"), chunks).cast("int"))
+    rows = rows.join(wanted, [F.col(c) == F.col(f"to_{c}") for c in key[:3]]).select(*[f"to_{c}" for c in key], "ids", "v")
 
     def solve(queries, rows):
         import pandas as pd
@@ -168,9 +222,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec
             ids = rows["ids"].tolist()
             x = matrix(rows["v"]) if len(rows["v"].iloc[0]) else None
             for start in range(0, len(queries), 256):
-                part = queries.iloc[start : start + 256]
-                got = products(matrix(part["v"]), x) if x is not None else np.zeros((len(part), len(rows)), np.int64)
-                for q, floor, score in zip(part["query_id"], part["floor"], got, strict=True):
+                part_ = queries.iloc[start : start + 256]
+                got = products(matrix(part_["v"]), x) if x is not None else np.zeros((len(part_), len(rows)), np.int64)
+                for q, floor, score in zip(part_["query_id"], part_["floor"], got, strict=True):
                     least = np.partition(score, -keep)[-keep] if len(score) > keep else None
                     near = np.flatnonzero(score >= floor) if least is None else np.flatnonzero((score >= least) & (score >= floor))
                     best = sorted((-int(score[j]), i) for j in near for i in ids[j] if i != q)[:k]
@@ -179,8 +233,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec
                     out["score"] += [-s for s, _ in best]
         return pd.DataFrame(out).astype("int64")
 
-    key = ["dim", "cell", "chunk", "block"]
-    found = routed.select(*key, "query_id", "floor", "v").groupBy(*key).cogroup(held.select(*key, "ids", "v").groupBy(*key)).applyInPandas(solve, "query_id bigint, vec_id bigint, score bigint")
+    queries = routed.select(*key, "query_id", "floor", "v").groupBy(*key)
+    found = queries.cogroup(rows.groupBy(*[f"to_{c}" for c in key])).applyInPandas(solve, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
