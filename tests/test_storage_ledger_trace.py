@@ -88,6 +88,13 @@ def test_snapshots_are_counted(spark):
     assert [(r.watermark, r.refs) for r in mvcc.live_snapshots(df).collect()] == [(5, 1)]
 
 
+def test_rates_of_a_sum_beyond_a_long(spark):
+    rows = [("p", "failed" if i % 2 else "ok", 5 * 10**18) for i in range(4)] + [("q", "ok", 0)]
+    got = ledger.rates(spark.createDataFrame(rows, "profile string, verdict string, elapsed_ns bigint"), ["profile"], cpus=4)
+    assert {tuple(r) for r in got.collect()} == {("p", 4, 2, 0, 0), ("q", 1, 0, None, None)}
+    assert dict(got.dtypes)["milli_runs_s"] == dict(got.dtypes)["milli_bugs_cpu_hour"] == "bigint"
+
+
 def test_shard_faults(spark):
     rows = [("a", s, "b", "c") for s in (0, 2, 4)] + [("z", s, "b", "c") for s in (1, 3, 5)]
     df = lambda rows: spark.createDataFrame(rows, "source string, seed bigint, build_label string, config_hash string")

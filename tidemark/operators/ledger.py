@@ -111,7 +111,7 @@ def claim_eligible(artifacts: DataFrame, allow_dev: bool = False) -> DataFrame:
 
 def rates(runs: DataFrame, by: list[str], cpus: int = 1) -> DataFrame:
     """(by, runs, bugs, milli_runs_s, milli_bugs_cpu_hour) of runs(verdict, elapsed_ns): whole thousandths, null for no time."""
-    per = runs.groupBy(*by).agg(F.count("*").alias("runs"), F.count_if(F.col("verdict") == "failed").alias("bugs"), F.sum("elapsed_ns").cast("bigint").alias("_ns"))
+    per = runs.groupBy(*by).agg(F.count("*").alias("runs"), F.count_if(F.col("verdict") == "failed").alias("bugs"), F.sum(F.col("elapsed_ns").cast("decimal(38,0)")).alias("_ns"))  # a sum of longs needn't be one
     of = lambda n, scale: F.expr(f"cast(cast({n} as decimal(38,0)) * {scale} div nullif(_ns, 0) as bigint)")
     return per.select(*by, "runs", "bugs", of("runs", 10**12).alias("milli_runs_s"), of("bugs", f"{3600 * 10**12}").alias("_b")).withColumn("milli_bugs_cpu_hour", F.expr(f"_b div {cpus}")).drop("_b")
 
