@@ -83,6 +83,40 @@ def test_manifest_faults_and_batches(spark):
     assert mvcc.write_amplification(none, none).first()["milli"] is None
 
 
+def test_range_overlaps_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    edits = []
+    for o in range(400):
+        a, width = rng.randrange(40), rng.choice([0, 1, 3, 20, -2])
+        edits.append((o, rng.choice(["ADD", "ADD", "REMOVE"]), rng.randrange(25), rng.randrange(3), a, a + width))
+    edits += [(400, "ADD", 90, 1, None, 3), (401, "ADD", None, 1, 0, 50)]
+    gone = lambda o, f: min((e[0] for e in edits if e[1] == "REMOVE" and e[2] == f and e[0] > o), default=10**6)
+    adds = [(*e, gone(e[0], e[2])) for e in edits if e[1] == "ADD" and e[3] > 0 and None not in e]
+    want = {a[0] for a in adds for b in adds if b[3] == a[3] and b[2] != a[2] and b[0] < a[0] < b[6] and b[4] <= a[5] and a[4] <= b[5]}
+    df = spark.createDataFrame(edits, "ord bigint, action string, file_no bigint, level int, smallest bigint, largest bigint")
+    found = lambda df: sorted(r.ord for r in mvcc.manifest_faults(df).filter("fault = 'level range overlap'").collect())
+    assert found(df) == sorted(want) and 20 < len(want) < len(adds)
+    named = df.withColumn("smallest", F.lpad(F.col("smallest").cast("string"), 4, "0")).withColumn("largest", F.lpad(F.col("largest").cast("string"), 4, "0"))
+    assert found(named.filter("smallest >= '0' AND largest >= '0'")) == found(df.filter("smallest >= 0 AND largest >= 0"))
+
+
+def test_range_overlaps_of_a_large_level(spark):
+    """300,000 files of one level that never meet: some 10^11 pairs."""
+    df = spark.range(300_000).selectExpr("id AS ord", "'ADD' AS action", "id AS file_no", "1 AS level", "id * 2 AS smallest", "id * 2 + 1 AS largest")
+    last = spark.createDataFrame([(300_000, "ADD", 300_000, 1, 7, 8)], df.schema)
+    got = []
+    import threading
+
+    run = threading.Thread(target=lambda: got.extend(mvcc.manifest_faults(df.union(last)).collect()), daemon=True)
+    run.start()
+    run.join(60)
+    if run.is_alive():
+        spark.sparkContext.cancelAllJobs()
+    assert [tuple(r) for r in got] == [(300_000, 300_000, "level range overlap")]
+
+
 def test_snapshots_are_counted(spark):
     df = spark.createDataFrame([(5, 1), (5, 1), (5, -1), (7, 1), (7, -1)], "watermark bigint, delta bigint")
     assert [(r.watermark, r.refs) for r in mvcc.live_snapshots(df).collect()] == [(5, 1)]

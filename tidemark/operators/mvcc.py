@@ -141,9 +141,7 @@ def manifest_faults(edits: DataFrame, next_file_no: int | None = None) -> DataFr
     level; adding a range that overlaps a live file of the same level above 0. One fault makes the whole batch void.
     """
     w = Window.partitionBy("file_no").orderBy("ord")
-    rows = edits.withColumn("_was", F.lag("action").over(w)).withColumn("_level", F.lag("level").over(w))
-    gone = F.min(F.when(F.col("action") == "REMOVE", F.col("ord"))).over(w.rowsBetween(1, Window.unboundedFollowing))
-    rows = rows.withColumn("_until", gone)
+    rows = edits.withColumn("_was", F.lag("action").over(w)).withColumn("_level", F.lag("level").over(w)).withColumn("_n", F.row_number().over(w))
     add = F.col("action") == "ADD"
     fault = F.when(add & (F.col("_was") == "ADD"), "file number")
     if next_file_no is not None:
@@ -153,11 +151,57 @@ def manifest_faults(edits: DataFrame, next_file_no: int | None = None) -> DataFr
     out = rows.withColumn("fault", fault).filter("fault IS NOT NULL").select("ord", "file_no", "fault")
     if not {"smallest", "largest"} <= set(edits.columns):
         return out
-    # an added file meets those of its level that live then and start at or before its largest key
-    live = rows.filter(add & (F.col("level") > 0)).select("ord", "file_no", "level", "smallest", "largest", "_until")
+    # a frame that ends at the last row is summed anew for each row, one that starts at the first isn't
+    back = Window.partitionBy("file_no").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
+    gone = F.min(F.when(F.col("action") == "REMOVE", F.col("ord"))).over(back)
+    live = rows.withColumn("_until", gone).filter(add & (F.col("level") > 0)).select("ord", "file_no", "level", "smallest", "largest", "_until", "_n")
+    return out.union(_meeting(live).select("ord", "file_no", F.lit("level range overlap").alias("fault")))
+
+
+def _meeting(live: DataFrame) -> DataFrame:
+    """Rows (ord, file_no, _n) of live(ord, file_no, level, smallest, largest, _until, _n) that meet an earlier one of another
+    file of their level which lives then (_until, the end of its life, is null or later).
+
+    Two ranges meet where one starts inside the other. Range ends are ranked, a range is cut into the dyadic intervals it
+    covers, and a start lies in one of each size, so the earlier ranges that meet a row are those in a common interval. Rows
+    of an interval are counted in their order: a life is one more from its first row on and one less from its end; what is
+    left without the row's own file meets it. Ranks of a level and an interval's rows are one sort each.
+    """
+    live = live.filter("ord IS NOT NULL AND file_no IS NOT NULL AND smallest IS NOT NULL AND largest IS NOT NULL")
+    good = live.filter("smallest <= largest")
+    ends = good.select("level", F.explode(F.array("smallest", "largest")).alias("key")).distinct()
+    ends = ends.withColumn("rank", F.row_number().over(Window.partitionBy("level").orderBy("key")).cast("bigint"))
+    for side in ("smallest", "largest"):
+        good = good.join(ends.select("level", F.col("key").alias(side), F.col("rank").alias(f"_{side}")), ["level", side])
+    lives = good.groupBy("level", "file_no", "_smallest", "_largest", "_until").agg(F.min("ord").alias("ord"))
+    tall = lives.agg(F.coalesce(F.floor(F.log2(F.max(F.col("_largest") - F.col("_smallest") + 1))), F.lit(0)).cast("int").alias("_tall"))
+    # of each height h: the interval of the start; the intervals at the ends of what larger ones leave of the range
+    a, z, h = "_smallest", "_largest + 1", "h"
+    lo, hi = f"shiftright({a} + shiftleft(1L, {h}) - 1, {h})", f"shiftright({z}, {h})"
+    heights = "sequence(0, _tall)"
+    point = f"transform({heights}, h -> struct(h, shiftright({a}, h) AS at))"
+    cover = f"filter(flatten(transform({heights}, h -> array(struct(h, IF({lo} < {hi} AND {lo} % 2 = 1, {lo}, NULL) AS at), struct(h, IF({lo} < {hi} AND {hi} % 2 = 1, {hi} - 1, NULL) AS at)))), x -> x.at IS NOT NULL)"
+
+    def events(df: DataFrame, asks: bool) -> DataFrame:
+        # an asking row's start lies in earlier ranges, or its range holds their starts
+        kinds = F.array(F.struct(F.lit(asks).alias("starts"), F.expr(point).alias("nodes")), F.struct(F.lit(not asks).alias("starts"), F.expr(cover).alias("nodes")))
+        df = df.join(F.broadcast(tall), F.lit(True)).withColumn("_k", F.explode(kinds)).withColumn("_x", F.explode("_k.nodes"))
+        return df.withColumn("starts", F.col("_k.starts")).withColumn("h", F.col("_x.h")).withColumn("at", F.col("_x.at")).drop("_k", "_x", "_tall", "_smallest", "_largest")
+
+    # at one place in the order lives end first, then rows ask, then lives begin
+    asks = events(good.select("level", "file_no", "ord", "_n", "_smallest", "_largest"), True).withColumn("turn", F.lit(1)).withColumn("more", F.lit(0))
+    turns = F.expr("filter(array(struct(ord AS place, 2 AS turn, 1 AS more), struct(_until AS place, 0 AS turn, -1 AS more)), x -> x.place IS NOT NULL)")
+    begins = events(lives, False).withColumn("_t", F.explode(turns)).withColumn("_n", F.lit(None).cast("int"))
+    cell = ["level", "starts", "h", "at"]
+    both = asks.select(*cell, "file_no", "ord", "turn", "more", "_n").union(begins.select(*cell, "file_no", F.col("_t.place"), F.col("_t.turn"), F.col("_t.more"), "_n"))
+    so_far = lambda *by: F.sum("more").over(Window.partitionBy(*by).orderBy("ord", "turn").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("_all", so_far(*cell)).withColumn("_own", so_far(*cell, "file_no")).filter("turn = 1 AND _all > _own").select("ord", "file_no", "_n")
+    # a range that ends before it starts meets those that reach from its end to its start; there should be few of them
     old = live.select(*[F.col(c).alias(f"o_{c}") for c in live.columns])
     meets = (F.col("level") == F.col("o_level")) & (F.col("o_ord") < F.col("ord")) & F.coalesce(F.col("o__until") > F.col("ord"), F.lit(True)) & (F.col("o_smallest") <= F.col("largest")) & (F.col("smallest") <= F.col("o_largest")) & (F.col("file_no") != F.col("o_file_no"))
-    return out.union(live.join(old, meets, "left_semi").select("ord", "file_no", F.lit("level range overlap").alias("fault")))
+    wrong = live.filter("smallest > largest").join(old.filter("o_smallest <= o_largest"), meets, "left_semi")
+    wrong = wrong.union(live.filter("smallest <= largest").join(old.filter("o_smallest > o_largest"), meets, "left_semi"))
+    return found.union(wrong.select("ord", "file_no", "_n")).distinct()
 
 
 def apply_manifest(edits: DataFrame, next_file_no: int | None = None) -> DataFrame:
