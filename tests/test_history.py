@@ -244,3 +244,35 @@ def test_search_of_a_long_history():
         ops += [op(i, "SET", (10 * i, None if i % 20 == 0 else 10 * i + 5), value=str(i)), op(i + 1, "GET", (10 * i + 6, 10 * i + 8), str(i - 2 if i % 20 == 0 else i) if i else None)]
     assert linearize.search([dict(o) for o in ops]) == "linearizable"
     assert linearize.search([dict(o) for o in ops], max_states=1000) == "undecided"
+
+
+def test_lost_updates_against_all_triples(spark):
+    rng = random.Random(3)
+    some = lambda *x: rng.choice(x)
+    ops = [op(i, "CAS", (t := rng.randrange(60), t + rng.randrange(9)), value=some("1", "2", "3", None), expected=some("0", "1", None), key=some("x", "y")) for i in range(60)]
+    ops += [op(i, "GET", (t := rng.randrange(30, 80), t + 1), some("1", "2", "9", None), key=some("x", "y"), probe=some("final", None)) for i in range(60, 90)]
+    want = set()
+    for a, b in itertools.combinations(ops[:60], 2):
+        if a["key"] == b["key"] and a["expected"] == b["expected"] and a["value"] != b["value"] and (a["complete"] < b["invoke"] or b["complete"] < a["invoke"]):
+            end = max(a["complete"], b["complete"])
+            want |= {(a["id"], b["id"], r["id"]) for r in ops[60:] if r["probe"] and r["key"] == a["key"] and r["out_value"] is not None and end < r["invoke"] and r["out_value"] in (a["value"], b["value"])}
+    got = [tuple(r.operation_ids) for r in history.lost_updates(frame(spark, ops)).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 20
+
+
+def test_lost_updates_meet_only_probes_of_their_value(spark):
+    """Pairs times probes of one key would be some 10^11; one probe shows a value that was written."""
+    import threading
+
+    from pyspark.sql import functions as F
+
+    none = lambda t: F.lit(None).cast(t)
+    i, write = F.col("id"), F.col("id") < 8000
+    rows = spark.range(14001).select("id", F.lit("x").alias("key"), F.when(write, "CAS").otherwise("GET").alias("kind"), F.lit("ok").alias("outcome"), F.when(write, "0").alias("expected"), F.when(write, (i % 2).cast("string")).alias("value"), (i * 2).alias("invoke"), (i * 2 + 1).alias("complete"), F.when(~write, "final").alias("probe"), F.when(i == 14000, "1").when(~write, "z").otherwise(none("string")).alias("out_value"))
+    got = []
+    run = threading.Thread(target=lambda: got.append(history.lost_updates(rows).count()), daemon=True)
+    run.start()
+    run.join(60)
+    if run.is_alive():
+        spark.sparkContext.cancelAllJobs()
+    assert got == [4000 * 4000]
