@@ -690,6 +690,35 @@ def test_top_k_in_chunks_and_blocks(sp, monkeypatch):
     assert a == {tuple(r) for r in knn.top_k(df, pivots=3).collect()} and len(a) == 50
 
 
+def test_top_k_writes_nothing_for_a_pair(sp):
+    """Vectors without structure, of which every cell is wanted by every query: files stay below twice the vectors' doubles."""
+    import pathlib
+
+    from tidemark.llm.knn import top_k
+
+    folder = pathlib.Path(sp.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "tidemark"
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 16))
+    df = sp.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(2)
+    there = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = there()
+    got = {tuple(r) for r in top_k(df, every=2, pivots=500).collect()}
+    assert there() - before < 2 * x.nbytes
+    y = np.floor(256 * x).astype(np.int64)
+    score = y @ y.T
+    want = {(q, n, i, -s) for q in range(0, 4000, 2) for n, (s, i) in enumerate(sorted((-int(score[q, i]), i) for i in np.argsort(-score[q])[:40].tolist() if i != q)[:5], 1)}
+    assert got == want
+
+
+def test_top_k_of_equal_queries(sp):
+    """Equal vectors are one query; with every row asked none of their ids is lost."""
+    from tidemark.llm.knn import top_k
+
+    df = sp.createDataFrame([(i, [float(i % 2), 1.0]) for i in range(40)], "vec_id bigint, embedding array<double>")
+    got = sorted(tuple(r) for r in top_k(df, k=2, every=1).collect())
+    assert [r[:3] for r in got] == [(q, n, i) for q in range(40) for n, i in enumerate([i for i in (range(1, 40, 2) if q % 2 else range(40)) if i != q][:2], 1)]
+
+
 def test_components_of_chains(sp):
     from tidemark.llm.graph import components
 
