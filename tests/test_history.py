@@ -276,3 +276,40 @@ def test_lost_updates_meet_only_probes_of_their_value(spark):
     if run.is_alive():
         spark.sparkContext.cancelAllJobs()
     assert got == [4000 * 4000]
+
+
+@pytest.mark.parametrize("block, chunk", [(3, 4), (512, 512)])
+def test_lost_updates_by_blocks_and_lists(spark, monkeypatch, block, chunk):
+    """Writes and probes of equal instants, writes without an end, values and predecessors that are null."""
+    monkeypatch.setattr(history, "BLOCK", block)
+    monkeypatch.setattr(history, "CHUNK", chunk)
+    rng = random.Random(5)
+    some = lambda *x: rng.choice(x)
+    ops = [op(i, "CAS", (t := rng.randrange(40), some(t + rng.randrange(9), t + rng.randrange(9), None)), value=some("1", "2", None), expected=some("0", None), key=some("x", "y"), outcome="ok") for i in range(50)]
+    ops += [op(i, "GET", (rng.randrange(50), None), some("1", "2", "9", None), key=some("x", "y"), probe="final") for i in range(50, 120)]
+    before = lambda a, b: a["complete"] is not None and a["complete"] < b["invoke"]
+    want = set()
+    for a, b in itertools.combinations(ops[:50], 2):
+        if a["key"] == b["key"] and a["expected"] == b["expected"] and a["value"] != b["value"] and (before(a, b) or before(b, a)):
+            end = max(t for t in (a["complete"], b["complete"]) if t is not None)
+            want |= {(a["id"], b["id"], r["id"]) for r in ops[50:] if r["key"] == a["key"] and r["out_value"] is not None and end < r["invoke"] and r["out_value"] in (a["value"], b["value"])}
+    got = [tuple(r.operation_ids) for r in history.lost_updates(frame(spark, ops)).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 200
+
+
+def test_lost_updates_try_no_probe_with_a_pair(spark):
+    """4000 writes of one predecessor, all at once but for one, and 4000 probes after them: 1.6 * 10^10 triples to try, 8 * 10^6 to give."""
+    import threading
+
+    from pyspark.sql import functions as F
+
+    i, write = F.col("id"), F.col("id") < 4000
+    late = i == 3999
+    rows = spark.range(8000).select("id", F.lit("x").alias("key"), F.when(write, "CAS").otherwise("GET").alias("kind"), F.lit("ok").alias("outcome"), F.when(write, "0").alias("expected"), F.when(write, (i % 2).cast("string")).alias("value"), F.when(late, 5000).when(write, i).otherwise(i + 2000).cast("bigint").alias("invoke"), F.when(late, 5001).when(write, 4500).otherwise(i + 2001).cast("bigint").alias("complete"), F.when(~write, "final").alias("probe"), F.when(~write, "0").alias("out_value"))
+    got = []
+    run = threading.Thread(target=lambda: got.append(history.lost_updates(rows).count()), daemon=True)
+    run.start()
+    run.join(60)
+    if run.is_alive():
+        spark.sparkContext.cancelAllJobs()
+    assert got == [2000 * 4000]
